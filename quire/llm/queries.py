@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import lookalikes, repeated_lines, shared_spans, tokenize
+from quire.llm import encodings, lookalikes, repeated_lines, shared_spans, tokenize
 from quire.sources.tables import table
 
 
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "pdf_blocks")
+    return encodings.garbled_lines(blocks, encodings.train(blocks))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_restored(spark, d).select("block_id", "line_no")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "streams").select("book_id", F.col("stream").cast("int").alias("stream"), "norm_text")
     return shared_spans.shared_spans(s, ["book_id", "stream"], "norm_text")
@@ -40,4 +49,4 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pages, p3_found, p3_clean, p5_found, p5_canonical, p6_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p5_found, p5_canonical, p6_ids)}
