@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encodings, lookalikes, repeated_lines, shared_spans, spam_shapes, tokenize
+from quire.llm import encodings, lookalikes, page_wrappers, repeated_lines, shared_spans, spam_shapes, tokenize
 from quire.sources.tables import table
 
 
@@ -35,6 +35,18 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.remove_repeated_lines(table(spark, d, "pdf_blocks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_wrappers.page_furniture(table(spark, d, "page_contents"))
+
+
+def p4_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return page_wrappers.infer_wrappers(page_wrappers.pages_by_field(table(spark, d, "page_contents")))
+
+
+def p4_own(spark: SparkSession, d: str) -> DataFrame:
+    return page_wrappers.own_text(table(spark, d, "page_contents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = lookalikes.text_fields(table(spark, d, "pdf_blocks"), table(spark, d, "streams"))
     return lookalikes.lookalike_pairs(rows)
@@ -57,4 +69,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p5_found, p5_canonical, p6_ids, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p8_found, p8_shares)}
