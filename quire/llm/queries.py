@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encodings, lookalikes, page_wrappers, repeated_lines, shared_spans, spam_shapes, tokenize
+from quire.llm import encodings, lookalikes, packing, page_wrappers, repeated_lines, shared_spans, spam_shapes, tokenize
 from quire.sources.tables import table
 
 
@@ -61,6 +61,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam_shapes.spam_documents(table(spark, d, "documents"))
 
@@ -69,4 +73,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}
