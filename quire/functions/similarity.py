@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Four bytes a character: any piece of a text is then a slice of bytes, found without reading from the start.
+FIXED = "UTF-32"
+
+
+def pieces(text: Column, places: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """``places`` gets a function from start and length (characters, from 0) to the bytes of that piece of
+    ``text``. The text is encoded once a row: as an element of an array it is bound before pieces are cut."""
+    cut = lambda b: lambda start, n: F.substring(b, start * 4 + 1, n * 4)
+    return F.get(F.transform(F.array(F.encode(text, FIXED)), lambda b: places(cut(b))), F.lit(0))
+
+
+def as_text(piece: Column) -> Column:
+    # decoding drops one byte order mark: the one put in front, not the text's own
+    return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), piece), FIXED)
+
+
 def grams(text: Column, k: int) -> Column:
-    """The k-grams of a text in order; none if it is shorter or null."""
-    return F.when(
-        F.length(text) >= k,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k))),
-    ).otherwise(F.expr("cast(array() as array<string>)"))
+    """The k-grams of a text in order, as bytes (see ``as_text``); none if it is shorter or null."""
+    at = F.sequence(F.lit(0), F.length(text) - k)
+    return F.when(F.length(text) >= k, pieces(text, lambda cut: F.transform(at, lambda i: cut(i, F.lit(k))))).otherwise(
+        F.expr("cast(array() as array<binary>)")
+    )
 
 
 def dice(pairs: DataFrame, keys: list[str], a: str, b: str, k: int = 3) -> DataFrame:

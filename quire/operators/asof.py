@@ -30,8 +30,8 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     rows = _stacked(left, right, by, on, right_on, [right_on])
     w = Window.partitionBy(*by).orderBy("_at", F.col("_l").isNotNull())
     back = F.last(f"_r.{right_on}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    w2 = Window.partitionBy(*by).orderBy("_at", F.col("_l").isNull())
-    ahead = F.first(f"_r.{right_on}", ignorenulls=True).over(w2.rowsBetween(0, Window.unboundedFollowing))
+    w2 = Window.partitionBy(*by).orderBy(F.desc("_at"), F.col("_l").isNotNull())
+    ahead = F.last(f"_r.{right_on}", ignorenulls=True).over(w2.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.select("_l", "_at", back.alias("_b"), ahead.alias("_a")).where("_l IS NOT NULL")
     db, da = F.col("_at") - F.col("_b"), F.col("_a") - F.col("_at")
     first_b = (db <= da) if ties == "before" else (db < da)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import cuts, digits, urls
 from quire.functions.normalize import normalize_map_udf, normalize_udf
+from quire.functions.similarity import as_text
 from quire.operators import alignment, anchors, asof, blocks, crawl, fragments, report, toc
 from quire.plans import inputs as I  # noqa: E741
 from quire.plans.sql import SQL  # noqa: F401
@@ -74,11 +75,11 @@ def page_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def rare_gram_index(s: SparkSession, d: str) -> DataFrame:
-    return anchors.rare_grams(I.texts(s, d)).select("book_id", "stream", "g", "n", F.concat_ws(",", F.transform("places", lambda p: p.cast("string"))).alias("places"))
+    return anchors.rare_grams(I.texts(s, d)).select("book_id", "stream", as_text(F.col("g")).alias("g"), "n", F.concat_ws(",", F.transform("places", lambda p: p.cast("string"))).alias("places"))
 
 
 def unique_page_grams(s: SparkSession, d: str) -> DataFrame:
-    return anchors.unique_page_grams(I.page_texts(s, d))
+    return anchors.unique_page_grams(I.page_texts(s, d)).withColumn("g", as_text(F.col("g")))
 
 
 def anchor_hits(s: SparkSession, d: str) -> DataFrame:
