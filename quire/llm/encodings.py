@@ -350,7 +350,7 @@ def garbled_lines(blocks: DataFrame, model: Classifier) -> DataFrame:
             yield pd.DataFrame(rows, columns=["block_id", "line_no", "line", "restored", "chain", "recovered"])
 
     return (
-        blocks.select("block_id", "lines")
+        blocks.where("block_id IS NOT NULL").select("block_id", "lines")
         .mapInPandas(run, "block_id long, line_no int, line string, restored string, chain string, recovered boolean")
         .distinct()
     )

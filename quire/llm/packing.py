@@ -123,7 +123,7 @@ def _epoch(n: int):
         room, seed = int(g.room[0]), hash((int(g.spec_id[0]), int(g.block[0]), int(g.island[0]), n))
         own = g[g.came == g.island[0]].reset_index(drop=True)
         elites: list[Bins] = []
-        if n:
+        if n or g.came.nunique() == 1:
             for _, e in g.groupby("came"):
                 bins: dict[int, list[int]] = {}
                 for i, b in enumerate(e.bin):
@@ -143,10 +143,26 @@ def _best(g: pd.DataFrame) -> pd.DataFrame:
     return g[g.island == best]
 
 
+def _start(g: pd.DataFrame) -> pd.DataFrame:
+    """A block's first island. ``island`` -1 says that no solution can use fewer containers."""
+    g = g.sort_values(["doc_id", "piece"], ignore_index=True)
+    room, size = int(g.room[0]), g.tokens.tolist()
+    bins = evolve(size, room, hash((int(g.spec_id[0]), int(g.block[0]))), [])
+    return _rows(g.assign(island=-1 if len(bins) <= -(-sum(size) // room) else 0), bins)
+
+
 def pack_blocks(items: DataFrame) -> DataFrame:
-    """Items (``spec_id, room, block, doc_id, piece, tokens``) with the ``bin`` of their block."""
-    state = items.select("*", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"))
-    state = state.select("*", F.col("island").alias("came"), F.lit(0).alias("bin"))
+    """Items (``spec_id, room, block, doc_id, piece, tokens``) with the ``bin`` of their block.
+
+    Blocks whose first island reaches the least possible number of containers are done; the others
+    go on with all islands and migration.
+    """
+    first = checkpoint(items.groupBy("spec_id", "block").applyInPandas(_start, _ITEM))
+    solved = first.where("island = -1")
+    state = first.where("island = 0").select(
+        *(c for c in _COLUMNS if c != "island"), F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island")
+    )
+    state = state.withColumn("came", F.col("island"))
     for n in range(EPOCHS):
         if n:  # the best solution of each island stays and goes to the next one
             state = state.select(
@@ -155,7 +171,7 @@ def pack_blocks(items: DataFrame) -> DataFrame:
                 F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("island"),
             ).distinct()
         state = state.groupBy("spec_id", "block", "island").applyInPandas(_epoch(n), _ITEM)
-    return state.groupBy("spec_id", "block").applyInPandas(_best, _ITEM)
+    return solved.unionByName(state.groupBy("spec_id", "block").applyInPandas(_best, _ITEM))
 
 
 def document_sizes(documents: DataFrame, names: list[str], folder: str | None = None) -> DataFrame:
@@ -173,12 +189,14 @@ def pack_documents(documents: DataFrame, specs: DataFrame, folder: str | None =
     """``spec_id, doc_id, piece, tokens, container`` for each row of ``specs`` (few: a table of settings).
 
     A document longer than the capacity is cut: all pieces but the last fill a container each; no other
-    document is divided. Null and empty texts have 0 tokens and lie in a container like others. Rows with
+    document is divided. Null and empty texts have 0 tokens and lie in a container like others. Rows without an id are left out, rows with
     one id count as one document; specs without capacity are left out.
     """
     rows = [r for r in specs.select("spec_id", "tokenizer", "capacity").distinct().collect() if r.capacity and r.capacity > 0]
+    if not rows:
+        return documents.sparkSession.createDataFrame([], "spec_id int, doc_id long, piece int, tokens int, container string")
     names = sorted({r.tokenizer for r in rows})
-    sizes = checkpoint(document_sizes(documents.select("doc_id", "text").dropDuplicates(["doc_id"]), names, folder))
+    sizes = checkpoint(document_sizes(documents.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"]), names, folder))
     n_blocks = max(1, -(-sizes.count() // BLOCK))
     spec = F.explode(
         F.array(*(F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity).cast("int").alias("room"), F.col("sizes")[names.index(r.tokenizer)].alias("total")) for r in rows))

@@ -181,6 +181,6 @@ def spam_documents(documents: DataFrame, common: set[str] | None = None, over: f
             rows = [(i, *non_sentence_share(t, w)) for i, t in zip(b.doc_id, b.text)]
             yield pd.DataFrame([r for r in rows if r[1] > over], columns=["doc_id", "share", "shape"])
 
-    return documents.where("text IS NOT NULL").select("doc_id", "text").mapInPandas(
+    return documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(
         run, "doc_id long, share double, shape string"
     )
