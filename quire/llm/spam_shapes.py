@@ -33,9 +33,11 @@ _EDGE = ".,;:!?؟،؛«»\"“”„()[]*|/»-–—…"
 COMMON_RATE = 0.5
 #: ... of which at most so many are kept for a language.
 MAX_COMMON = 60
+#: Different words a text needs to count for its language.
+VARIED = 15
 #: Segments a shape needs to count as a group, and words from which one segment is enough.
 GROUP, PILE = 3, 12
-#: A pair of words is repeated from so many times on, and from this share of the document's words on.
+#: A pair of words, not both of them common, is repeated from so many times on, and from this share of the words on.
 REPEATS, REPEAT_SHARE = 4, 0.02
 
 
@@ -66,7 +68,10 @@ def _word_rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rates: Counter = Counter()
         for lang, text in zip(b.lang, b.text):
             words = plain(text).lower().split()
-            for w, n in Counter(words).items():
+            counts = Counter(words)
+            if len(counts) < VARIED or counts.most_common(1)[0][1] > 0.2 * len(words):
+                continue  # piles of few words say nothing about the language
+            for w, n in counts.items():
                 if w.isalpha():
                     rates[lang, w] += n / len(words)
         rows = [(k[0], k[1], v) for k, v in rates.items()]
@@ -98,7 +103,7 @@ def _cut(line: str, common: set[str]) -> list[str]:
         words = sum(len(x.split()) for x in items)
         if words <= 4.5 * len(items):
             bare = sum(not any(w.strip(_EDGE) in common for w in x.lower().split()) for x in items)
-            if bare >= 0.7 * len(items):
+            if bare >= 0.7 * len(items) or 2 * len(set(items)) <= len(items):
                 return items
     return [x for x in _SENTENCE.split(line) if x.strip()]
 
@@ -136,13 +141,17 @@ def non_sentence_share(text: str, common: set[str]) -> tuple[float, str]:
     words = [w.strip(_EDGE).lower() for w in text.split()]
     words = [w for w in words if w and not w.isdigit()]
     floor = max(REPEATS, REPEAT_SHARE * len(words))
-    again = {p for p, n in Counter(zip(words, words[1:])).items() if n >= floor}
+    again = {p for p, n in Counter(zip(words, words[1:])).items() if n >= floor and not common.issuperset(p)}
     groups: dict[str, list[int]] = {}
-    for line in lines:
-        for seg in _cut(line, common):
+    cut = [(line, _cut(line, common)) for line in lines]
+    often = Counter(seg for _, segs in cut for seg in segs)
+    for line, segs in cut:
+        for seg in segs:
             name, sentence = shape(seg, common)
             size = len(seg) - seg.count(" ")
             n_words = seg.count(" ") + 1
+            if sentence and n_words <= 3 and often[seg] >= REPEATS:
+                sentence, name = False, "again " + name
             if sentence:
                 if not again or (times[line] > 1 and 4 <= n_words <= 20):
                     continue  # a burden is a sentence, however often it comes
