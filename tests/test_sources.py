@@ -15,7 +15,7 @@ def test_html_cleaning_and_paragraphs():
 
 
 def test_adapter():
-    a = html.SiteAdapter("s", ("h.example",), r"/\w+/book/([^/]+)/")
+    a = html.SiteLayout("s", ("h.example",), r"/\w+/book/([^/]+)/")
     page = '<title>Book - Site</title><div class="b">Home » Law » Title</div><div class="book-cover" style="background:url(c.png)"></div><ul class="baz"><li><a href="/ar/book/7/1/">P » Q</a></li><li><a href="/ar/book/7/1">again</a></li><li><a href="/ar/book/8/1/">other</a></li></ul>'
     i = a.info(page, "http://h.example/ar/book/7/")
     assert i["title"] == "Title" and i["cover"] == "http://h.example/ar/book/7/c.png" and i["toc"] == [{"url": "http://h.example/ar/book/7/1/", "path": ["P", "Q"]}]
@@ -23,7 +23,7 @@ def test_adapter():
     assert a.next_url('<a class="fl" href="2/">n</a>', "http://h.example/ar/book/7/") == "http://h.example/ar/book/7/2/"
     assert a.category('<table><tr><td><a href="/ar/book/9/">N</a></td></tr></table>', "http://h.example/") == [("N", "http://h.example/ar/book/9/")]
     html.register(a)
-    assert html.adapter_for("http://www.h.example/x") is a
+    assert html.layout_for("http://www.h.example/x") is a
 
 
 def test_cache_scan(spark, tmp_path):
