@@ -185,7 +185,7 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
 
 
 def text_fields(blocks: DataFrame, streams: DataFrame) -> DataFrame:
-    """``field, id, text`` of the three text fields: body blocks, raw and normalised streams."""
+    """``field, id, text`` of the three text fields: blocks of any kind, raw and normalised streams."""
     s = streams.select(
         F.col("stream_id").alias("id"),
         F.explode(
@@ -195,5 +195,5 @@ def text_fields(blocks: DataFrame, streams: DataFrame) -> DataFrame:
             )
         ).alias("_t"),
     ).select("_t.field", "id", "_t.text")
-    b = blocks.where("kind = 'body'").select(F.lit("text").alias("field"), F.col("block_id").alias("id"), "text")
+    b = blocks.select(F.lit("text").alias("field"), F.col("block_id").alias("id"), "text")
     return b.unionByName(s)

@@ -18,3 +18,13 @@ def test_query_runs(spark, name):
     df = e.queries()[name](spark, D)
     assert name not in columns or dict(df.dtypes) == columns[name]
     assert df.count() == df.distinct().count()
+
+
+def test_p5_canonical_has_blocks_of_every_kind(spark):
+    import __spark_entry__ as e
+
+    blocks = spark.read.parquet(f"{D}/pdf_blocks.parquet")
+    got = e.queries()["p5_canonical"](spark, D).where("field = 'text'").select("id").distinct()
+    assert blocks.where("kind IS NULL OR kind <> 'body'").count() > 0
+    assert got.exceptAll(blocks.selectExpr("block_id AS id").distinct()).count() == 0
+    assert blocks.selectExpr("block_id AS id").distinct().exceptAll(got).count() == 0
