@@ -27,6 +27,10 @@ def p2_pages(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_by_page(p2_found(spark, d), table(spark, d, "page_matches"))
 
 
+def p2_streams(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_by_stream(p2_found(spark, d), table(spark, d, "streams"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.find_repeated_lines(table(spark, d, "pdf_blocks"))
 
@@ -73,4 +77,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_streams, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}

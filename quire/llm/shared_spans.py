@@ -216,3 +216,19 @@ def shared_by_page(spans: DataFrame, matches: DataFrame) -> DataFrame:
         F.when(F.col("start_pos").isNull() | F.col("end_pos").isNull(), 0).otherwise(inside).alias("n_shared"),
         "anchors_hit", "score",
     )
+
+
+def shared_by_stream(spans: DataFrame, records: DataFrame) -> DataFrame:
+    """``book_id, stream, n_chars, n_shared`` of each record ``book_id, stream, norm_text``: the characters
+    of its text and how many of them lie in shared spans, on a page or not. Records that share nothing have
+    0, null texts 0 of 0; repeated rows count once, and two texts under the same keys count together."""
+    keys = ["book_id", F.col("stream").cast("int").alias("stream")]
+    n = F.coalesce(F.length("norm_text"), F.lit(0)).cast("long")
+    texts = records.select(*keys, F.xxhash64("norm_text").alias("_h"), n.alias("n_chars")).distinct()
+    none = F.lit(0).cast("long")
+    return (
+        texts.select("book_id", "stream", "n_chars", none.alias("n_shared"))
+        .unionByName(spans.select(*keys, none.alias("n_chars"), (F.col("span_end") - F.col("span_start")).cast("long").alias("n_shared")))
+        .groupBy("book_id", "stream")
+        .agg(F.sum("n_chars").alias("n_chars"), F.sum("n_shared").alias("n_shared"))
+    )

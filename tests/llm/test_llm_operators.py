@@ -98,6 +98,16 @@ def test_shared_by_page(spark):
     assert sorted((r.book_id, r.page, r.n_chars, r.n_shared) for r in shared_spans.shared_by_page(spans, m).collect()) == [("b", 1, 10, 5), ("b", 2, 20, 10), ("b", 3, 0, 0), ("c", 1, 4, 0)]
 
 
+def test_shared_by_stream(spark):
+    rows = [("b", 0, "x" * 5 + "s" * 15 + "y" * 10, 1), ("b", 0, "x" * 5 + "s" * 15 + "y" * 10, 2), ("b", 1, "note", 1), ("c", 0, None, 1), ("d", 0, "", 1), (None, 0, "s" * 15, 1)]
+    streams = spark.createDataFrame(rows, "book_id string, stream byte, norm_text string, key int")
+    spans = shared_spans.shared_spans(streams, ["book_id", "stream"], "norm_text", 12)
+    got = shared_spans.shared_by_stream(spans, streams).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("b", 0, 30, 15), ("b", 1, 4, 0), ("c", 0, 0, 0), ("d", 0, 0, 0), (None, 0, 15, 15)], key=repr)
+    assert dict(shared_spans.shared_by_stream(spans.limit(0), streams).dtypes)["stream"] == "int"
+    assert shared_spans.shared_by_stream(spans.limit(0), streams.limit(0)).count() == 0
+
+
 def test_repeated_lines(spark):
     rows = [(i, "b", i, ["عنوان الكتاب %d" % i, "سطر فريد " + "اب"[i % 2] * i, None, "(%d)" % i], 1) for i in range(1, 9)]
     rows += [(50, "b", 1, ["عنْوان  الكتاب"], 1), (50, "b", 1, ["عنْوان  الكتاب"], 1), (60, "c", 1, ["عنوان الكتاب"], 1), (70, "b", None, ["عنوان الكتاب"], 1), (80, "b", 3, None, 1)]

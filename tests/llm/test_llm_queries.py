@@ -28,3 +28,14 @@ def test_p5_canonical_has_blocks_of_every_kind(spark):
     assert blocks.where("kind IS NULL OR kind <> 'body'").count() > 0
     assert got.exceptAll(blocks.selectExpr("block_id AS id").distinct()).count() == 0
     assert blocks.selectExpr("block_id AS id").distinct().exceptAll(got).count() == 0
+
+
+def test_p2_streams_has_every_stream(spark):
+    import __spark_entry__ as e
+    from pyspark.sql import functions as F
+
+    want = spark.read.parquet(f"{D}/streams.parquet").groupBy("book_id", F.col("stream").cast("int").alias("stream")).agg(F.coalesce(F.max(F.length("norm_text")), F.lit(0)).alias("n"))
+    got = {r[:2]: r[2:] for r in map(tuple, e.queries()["p2_streams"](spark, D).collect())}
+    assert {k: n for k, (n, _) in got.items()} == {(r.book_id, r.stream): r.n for r in want.collect()}
+    shared = e.queries()["p2_found"](spark, D).groupBy("book_id", "stream").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("n"))
+    assert {k: m for k, (_, m) in got.items() if m} == {(r.book_id, r.stream): r.n for r in shared.collect()}
