@@ -5,7 +5,8 @@ the host's name masked), streams that share an outer token are aligned one after
 does not match becomes a text slot. Alignment folds on the map side first and again per host, so no
 task sees all lines of a host. A wrapper is furniture if it keeps constants that are not words of
 the book, its lines have about one length, recur over pages and stand outside the stretch from a
-page's first paragraph to its last. Runs of short lines that are nothing but a slot, with or without a
+page's first paragraph to its last. Lines as long as paragraphs are judged before that, by how they
+recur over the pages and books of their host alone (``long_notices``); such notices are no paragraphs. Runs of short lines that are nothing but a slot, with or without a
 counter, are repeated groups: lists of links. Wrappers of all hosts together serve hosts with few pages.
 """
 
@@ -30,6 +31,9 @@ SLOT = "*"
 PARAGRAPH, LONGEST = 13, 24
 #: Lines, and books, a wrapper needs on one host and over all hosts.
 SUPPORT = {"host": (4, 2), "all": (8, 3)}
+#: Tokens at either end by which long lines are compared; share of such a line that must be constant; books
+#: from which on a long line need not recur within each (before that it may be the text of some editions).
+ENDS, CONSTANT, MANY_BOOKS = 6, 0.75, 8
 #: Share of a wrapper's lines that stand outside the paragraphs; how much lengths may vary.
 OUTSIDE, SPREAD = 0.75, 2.0
 #: A constant is no word of the book if it is so much rarer in paragraphs than at the edge of short lines.
@@ -56,22 +60,28 @@ def markup(line: str) -> str:
     return ">".join(a.lower() + ("." + c if c else "") for a, c in _NAME.findall(line) if a.lower() != "br")
 
 
-def page_lines(title: str | None, text: str | None, host: str | None) -> list[dict]:
+def page_lines(title: str | None, text: str | None, host: str | None, notices=None) -> list[dict]:
     """What is known of each line that has text: its tokens, markup, place (``top``, ``in``, ``end``, or
-    ``any`` on pages without paragraphs), and whether it is the page's title."""
+    ``any`` on pages without paragraphs), and whether it is the page's title or one of the ``notices``
+    (line numbers), which are no paragraphs."""
     if text is None:
         return []
     own_title = line_tokens(title or "", host)
+    known = set(notices) if notices is not None else ()
     rows = []
     for n, line in enumerate(text.split("\n")):
         if tokens := line_tokens(line, host):
-            rows.append({"line_no": n, "tokens": tokens, "markup": markup(line), "title": tokens == own_title})
-    paragraphs = [i for i, r in enumerate(rows) if len(r["tokens"]) >= PARAGRAPH]
+            rows.append({"line_no": n, "tokens": tokens, "markup": markup(line), "title": tokens == own_title, "notice": n in known})
+    paragraphs = [i for i, r in enumerate(rows) if _paragraph(r)]
     for i, r in enumerate(rows):
         r["place"] = "any" if not paragraphs else "top" if i < paragraphs[0] else "end" if i > paragraphs[-1] else "in"
     return rows
 
 
+def _paragraph(row: dict) -> bool:
+    return len(row["tokens"]) >= PARAGRAPH and not row["notice"]
+
+
 def block_keys(tokens: list[str]) -> list[str]:
     """Keys of the alignment blocks of a line: the whole, its first three, two, one, its last two, one."""
     if len(tokens) > LONGEST:
@@ -146,8 +156,8 @@ def _bit(book: str | None) -> int:
 
 
 def _lines_of(b: pd.DataFrame):
-    for host, book, field, title, text in zip(b.host, b.book_id, b.field, b.title, b.text):
-        yield host, book, field, page_lines(title, text, host)
+    for host, book, field, title, text, notices in zip(b.host, b.book_id, b.field, b.title, b.text, b.notices):
+        yield host, book, field, [r for r in page_lines(title, text, host, notices) if not r["notice"]]
 
 
 def _first_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,8 +212,76 @@ def pages_by_field(pages: DataFrame) -> DataFrame:
     ).select("page_id", "host", "book_id", "title", "_t.field", "_t.text").where("text IS NOT NULL")
 
 
+def _long_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of each long line as a whole and of its ends, with what they are digests in: host and field."""
+    for b in batches:
+        rows = []
+        for page, host, book, field, title, text in zip(b.page_id, b.host, b.book_id, b.field, b.title, b.text):
+            seen: set = set()
+            for r in page_lines(title, text, host):
+                t = r["tokens"]
+                if len(t) < PARAGRAPH or r["title"]:
+                    continue
+                for part, own in (("=", t), ("^", t[:ENDS]), ("$", t[-ENDS:])):
+                    key = xxhash.xxh3_128_digest("\0".join((host, field, part, *own)).encode("utf-8", "surrogatepass"))
+                    rows.append((page, field, r["line_no"], part, key, book or "", int(key not in seen), len(t)))
+                    seen.add(key)
+        yield pd.DataFrame(rows, columns=["page_id", "field", "line_no", "part", "key", "book", "first", "n_tokens"])
+
+
+def _long_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A pattern of each key of each batch, from the lines that have it."""
+    for b in batches:
+        out: dict = {}
+        for host, title, text, keyed in zip(b.host, b.title, b.text, b.keyed):
+            tokens = {r["line_no"]: r["tokens"] for r in page_lines(title, text, host)}
+            for k in keyed:
+                t, old = tokens[k["line_no"]], out.get(k["key"])
+                out[k["key"]] = t if old is None else old if covers(old, t) else align(old, t)
+        yield pd.DataFrame(list(out.items()), columns=["key", "pattern"])
+
+
+def long_notices(fields: DataFrame) -> DataFrame:
+    """``page_id, field, notices``: numbers of the lines of ``PARAGRAPH`` tokens or more that are furniture.
+
+    Such a line recurs on its host as a whole, or begins or ends as others do and is constant for the
+    most part, on as many pages and in as many books as a wrapper of the host needs. What stands
+    once in each of a few books is no furniture: they may be editions of one text.
+    """
+    keyed = checkpoint(
+        fields.where("host IS NOT NULL").mapInPandas(
+            _long_keys, "page_id long, field string, line_no int, part string, key binary, book string, first int, n_tokens int"
+        )
+    )
+    recurring = (
+        keyed.groupBy("key", "book").agg(F.sum("first").alias("n"))
+        .groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("books"))
+        .where((F.col("n") >= SUPPORT["host"][0]) & (F.col("books") >= SUPPORT["host"][1]))
+        .where((F.col("n") >= 2 * F.col("books")) | (F.col("books") >= MANY_BOOKS))
+        .select("key")
+    )
+    met = checkpoint(keyed.join(recurring, "key"))
+    ends = met.where("part <> '='").groupBy("page_id", "field").agg(F.collect_list(F.struct("line_no", "key")).alias("keyed"))
+    patterns = (
+        fields.join(ends, ["page_id", "field"]).select("host", "title", "text", "keyed")
+        .mapInPandas(_long_fold, "key binary, pattern array<string>")
+        .groupBy("key").agg(F.collect_set("pattern").alias("patterns"))
+        .select("key", F.size(F.filter(fold_patterns("patterns"), lambda t: t != SLOT)).alias("n_constant"))
+    )
+    constant = met.where("part <> '='").join(patterns, "key").where(F.col("n_constant") >= CONSTANT * F.col("n_tokens"))
+    found = met.where("part = '='").select("page_id", "field", "line_no").unionByName(constant.select("page_id", "field", "line_no"))
+    return found.groupBy("page_id", "field").agg(F.collect_set("line_no").alias("notices"))
+
+
+def with_notices(fields: DataFrame) -> DataFrame:
+    """The rows of ``pages_by_field`` with the ``notices`` of each (null: none)."""
+    fields = checkpoint(fields)
+    return checkpoint(fields.join(long_notices(fields), ["page_id", "field"], "left"))
+
+
 def infer_wrappers(fields: DataFrame) -> DataFrame:
-    """Wrappers of furniture: ``host`` (null: all hosts), ``field, key, pattern, regex, n``.
+    """Wrappers of furniture: ``host`` (null: all hosts), ``field, key, pattern, regex, n``, from the rows of
+    ``with_notices``. Lines of ``PARAGRAPH`` tokens or more have none, see ``long_notices``.
 
     Blocks of lines below the support are dropped before they are judged; nothing else is.
     """
@@ -249,9 +327,9 @@ def infer_wrappers(fields: DataFrame) -> DataFrame:
     return joined.unionByName(counter).distinct().select("host", "field", "key", "pattern", to_regex("pattern").alias("regex"), "n")
 
 
-def _judge(title, text, host, field, wrappers: dict, markups: set) -> list[int]:
+def _judge(title, text, host, field, wrappers: dict, markups: set, notices) -> list[int]:
     """Line numbers of the furniture of one text."""
-    rows = page_lines(title, text, host)
+    rows = page_lines(title, text, host, notices)
     last_top = None
     for r in rows:
         joined = " ".join(r["tokens"]) + " "
@@ -268,7 +346,7 @@ def _judge(title, text, host, field, wrappers: dict, markups: set) -> list[int]:
         )
         r["counted"] = r["slot"] and len(body) < len(t)
     if title is None:  # the line before the first paragraph may be the title
-        first = next((i for i, r in enumerate(rows) if r["place"] == "in" or (r["place"] != "any" and len(r["tokens"]) >= PARAGRAPH)), None)
+        first = next((i for i, r in enumerate(rows) if r["place"] == "in" or (r["place"] != "any" and _paragraph(r))), None)
         last_top = first - 1 if first else None
     i = 0
     while i < len(rows):
@@ -282,7 +360,7 @@ def _judge(title, text, host, field, wrappers: dict, markups: set) -> list[int]:
             for r in run:
                 r["no"] = True
         i = max(j, i + 1)
-    return [r["line_no"] for r in rows if r["no"] or r["linked"]]
+    return [r["line_no"] for r in rows if r["no"] or r["linked"] or r["notice"]]
 
 
 def page_furniture(pages: DataFrame) -> DataFrame:
@@ -291,7 +369,7 @@ def page_furniture(pages: DataFrame) -> DataFrame:
     Lines count from 0 at line feeds. Null texts and lines without text have none; repeated rows count
     once. A null host has the wrappers of all hosts only.
     """
-    fields = checkpoint(pages_by_field(pages))
+    fields = with_notices(pages_by_field(pages))
     return _apply(fields, infer_wrappers(fields))
 
 
@@ -346,9 +424,9 @@ def _compile(field: str, found) -> dict:
 def _markup_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         n: dict = {}
-        for host, field, title, text, found in zip(b.host, b.field, b.title, b.text, b.wrappers):
-            no = set(_judge(title, text, host, field, _compile(field, found), set()))
-            for r in page_lines(title, text, host):
+        for host, field, title, text, found, notices in zip(b.host, b.field, b.title, b.text, b.wrappers, b.notices):
+            no = set(_judge(title, text, host, field, _compile(field, found), set(), notices))
+            for r in page_lines(title, text, host, notices):
                 v = n.setdefault((host, field, r["markup"]), [0, 0])
                 v[0] += 1
                 v[1] += r["line_no"] in no
@@ -358,15 +436,15 @@ def _markup_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for i, host, field, title, text, found, marks in zip(b.page_id, b.host, b.field, b.title, b.text, b.wrappers, b.markups):
+        for i, host, field, title, text, found, marks, notices in zip(b.page_id, b.host, b.field, b.title, b.text, b.wrappers, b.markups, b.notices):
             known = {(host, field, m) for m in (marks if marks is not None else ())}
-            rows += [(i, field, n) for n in _judge(title, text, host, field, _compile(field, found), known)]
+            rows += [(i, field, n) for n in _judge(title, text, host, field, _compile(field, found), known, notices)]
         yield pd.DataFrame(rows, columns=["page_id", "field", "line_no"])
 
 
 def own_text(pages: DataFrame) -> DataFrame:
     """``page_id, field, text``: each text without its furniture, markup and lines without text."""
-    fields = checkpoint(pages_by_field(pages))
+    fields = with_notices(pages_by_field(pages))
     drop = _apply(fields, infer_wrappers(fields)).groupBy("page_id", "field").agg(F.collect_set("line_no").alias("_drop"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

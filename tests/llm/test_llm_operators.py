@@ -235,6 +235,28 @@ def test_page_furniture(spark):
     assert page_wrappers.page_furniture(df.limit(0)).count() == 0
 
 
+def test_long_furniture(spark):
+    rng = random.Random(7)
+    whole = "we use cookies so that this library of old books stays open to all who read here and to keep the lamps lit, see our policy"
+    share = "share this page with your friends and tell them that you have read the chapter named {} today"
+    edition = "in the second year the miller of the valley sold his mill and went over the hills to the sea with his dog"
+    pages, want = [], set()
+    for i, (page, *rest) in enumerate(site(rng, 40)[0]):
+        body = rest[3].split("\n")
+        extra = [whole, share.format(rng.choice(WORDS["ru"])), whole + " " + whole]
+        if i < 4:
+            body.insert(5, edition)  # once in each of four books: editions
+        want |= {(page, "body", len(body) + k) for k in range(3)}
+        pages.append((page, *rest[:3], "\n".join(body + extra), *rest[4:]))
+    df = spark.createDataFrame(pages, "page_id long, host string, book_id string, title string, body string, footnotes string, key int")
+    got = {tuple(r) for r in page_wrappers.page_furniture(df).collect()}
+    assert want <= got
+    bodies = {p[0]: p[4].split("\n") for p in pages}
+    assert all(len(bodies[p][n].split()) < page_wrappers.PARAGRAPH or (p, f, n) in want for p, f, n in got if f == "body")
+    plain = spark.createDataFrame([(p[0], *p[1:4], "\n".join(bodies[p[0]][:-3]), *p[5:]) for p in pages], df.schema)
+    assert {r for r in map(tuple, page_wrappers.page_furniture(plain).collect())} == got - want
+
+
 def test_alignment_of_patterns():
     p = page_wrappers.align("most read : a b".split(), "most read : c".split())
     assert p == ["most", "read", ":", "*"] and page_wrappers.covers(p, "most read : x y z".split()) and not page_wrappers.covers(p, "most : x".split())
