@@ -6,8 +6,8 @@ does not match becomes a text slot. Alignment folds on the map side first and ag
 task sees all lines of a host. A wrapper is furniture if it keeps constants that are not words of
 the book, its lines have about one length, recur over pages and stand outside the stretch from a
 page's first paragraph to its last. Lines as long as paragraphs are judged before that, by how they
-recur over the pages and books of their host alone (``long_notices``); such notices are no paragraphs. Runs of short lines that are nothing but a slot, with or without a
-counter, are repeated groups: lists of links. Wrappers of all hosts together serve hosts with few pages.
+recur over the pages and books of their host alone (``long_notices``); such notices are no paragraphs. Runs of short lines of body that are nothing but a slot, with or without a
+counter, are taken for lists of links by a fixed rule that asks no wrapper, host or other page. Wrappers of all hosts together serve hosts with few pages.
 """
 
 from __future__ import annotations
