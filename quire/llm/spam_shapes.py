@@ -33,8 +33,8 @@ _EDGE = ".,;:!?؟،؛«»\"“”„()[]*|/»-–—…"
 COMMON_RATE = 0.5
 #: ... of which at most so many are kept for a language.
 MAX_COMMON = 60
-#: Different words a text needs to count for its language.
-VARIED = 15
+#: Different words a text needs to count in full for its language; rate from which on a word of one text is damped.
+VARIED, DAMPED = 15, 0.2
 #: Segments a shape needs to count as a group, and words from which one segment is enough.
 GROUP, PILE = 3, 12
 #: A pair of words, not both of them common, is repeated from so many times on, and from this share of the words on.
@@ -69,17 +69,20 @@ def _word_rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(b.lang, b.text):
             words = plain(text).lower().split()
             counts = Counter(words)
-            if len(counts) < VARIED or counts.most_common(1)[0][1] > 0.2 * len(words):
-                continue  # piles of few words say nothing about the language
+            weight = min(1.0, len(counts) / VARIED)  # piles of few words say little about the language
             for w, n in counts.items():
                 if w.isalpha():
-                    rates[lang, w] += n / len(words)
+                    rate = n / len(words)
+                    rates[lang, w] += weight * rate / (1 + (rate / DAMPED) ** 2)
         rows = [(k[0], k[1], v) for k, v in rates.items()]
         yield pd.DataFrame(rows, columns=["lang", "word", "rate"])
 
 
 def common_words(documents: DataFrame) -> set[str]:
-    """The commonest words of each language of ``documents`` (null is one of them), over all rows."""
+    """The commonest words of each language of ``documents`` (null is one of them), over all rows.
+
+    Texts of fewer than ``VARIED`` different words count in proportion, and a word that fills much of one
+    text counts for less there; of a language ``MAX_COMMON`` words are kept at most."""
     rates = (
         documents.where("text IS NOT NULL")
         .select(F.coalesce("lang", F.lit("")).alias("lang"), "text")

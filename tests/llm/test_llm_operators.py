@@ -276,5 +276,16 @@ def test_spam_shapes(spark):
     assert spam_shapes.spam_documents(df.limit(0)).count() == 0
 
 
+def test_common_words_of_short_texts(spark):
+    rng = random.Random(3)
+    small = "ka lo mi su ne ra to vi pe du sa lu".split()
+    name = lambda: "".join(rng.choices("bdgkmnprstz", k=6))
+    short = [(i, " ".join(x for w in rng.sample(small, 5) for x in (w, name())) + ".", "xx") for i in range(80)]
+    piles = [(100 + i, " ".join(["loom", "kiln", "tile"] * 40), "xx") for i in range(6)]
+    df = spark.createDataFrame(short + piles, "doc_id long, text string, lang string")
+    assert spam_shapes.common_words(df) == set(small)
+    assert {r.doc_id for r in spam_shapes.spam_documents(df).collect()} == {p[0] for p in piles}
+
+
 def test_nfc_input_is_stable():
     assert spam_shapes.plain("é") == unicodedata.normalize("NFC", "é")
