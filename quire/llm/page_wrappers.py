@@ -6,8 +6,10 @@ does not match becomes a text slot. Alignment folds on the map side first and ag
 task sees all lines of a host. A wrapper is furniture if it keeps constants that are not words of
 the book, its lines have about one length, recur over pages and stand outside the stretch from a
 page's first paragraph to its last. Lines as long as paragraphs are judged before that, by how they
-recur over the pages and books of their host alone (``long_notices``); such notices are no paragraphs. Runs of short lines of body that are nothing but a slot, with or without a
-counter, are taken for lists of links by a fixed rule that asks no wrapper, host or other page. Wrappers of all hosts together serve hosts with few pages.
+recur over the pages and books of their host alone (``long_notices``); such notices are no paragraphs.
+Runs of short lines of body that are nothing but a slot, with or without a counter, are taken for lists
+of links by a fixed rule that asks no wrapper, host or other page. Wrappers of all hosts together serve
+hosts with few pages.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ SLOT = "*"
 PARAGRAPH, LONGEST = 13, 24
 #: Lines, and books, a wrapper needs on one host and over all hosts.
 SUPPORT = {"host": (4, 2), "all": (8, 3)}
+#: The least books of a block are kept until it is told whether there are enough: as many as the support asks for.
+MOST_BOOKS = max(books for _, books in SUPPORT.values())
 #: Tokens at either end by which long lines are compared; share of such a line that must be constant; books
 #: from which on a long line need not recur within each (before that it may be the text of some editions).
 ENDS, CONSTANT, MANY_BOOKS = 6, 0.75, 8
@@ -134,7 +138,7 @@ def pattern_regex(pattern: list[str]) -> str:
 
 _STATE = ["host", "field", "key", "pattern", "n", "books", "n_placed", "n_top", "n_end", "len_sum", "len_sq", "n_title"]
 _STATE_DDL = (
-    "host string, field string, key string, pattern array<string>, n long, books long, n_placed long, n_top long,"
+    "host string, field string, key string, pattern array<string>, n long, books array<string>, n_placed long, n_top long,"
     " n_end long, len_sum double, len_sq double, n_title long"
 )
 
@@ -151,10 +155,6 @@ def fold_patterns(s: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _bit(book: str | None) -> int:
-    return 1 << xxhash.xxh3_64_intdigest((book or "").encode("utf-8", "surrogatepass")) % 61
-
-
 def _lines_of(b: pd.DataFrame):
     for host, book, field, title, text, notices in zip(b.host, b.book_id, b.field, b.title, b.text, b.notices):
         yield host, book, field, [r for r in page_lines(title, text, host, notices) if not r["notice"]]
@@ -164,31 +164,32 @@ def _first_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out: dict = {}
         for host, book, field, rows in _lines_of(b):
-            bit = _bit(book)
+            book = book or ""
             for r in rows:
                 tokens, p = r["tokens"], r["place"]
                 n, add = len(tokens), (p != "any", p == "top", p == "end", r["title"])
                 for key in block_keys(tokens):
                     o = out.get((host, field, key))
                     if o is None:
-                        out[host, field, key] = [tokens, 1, bit, *map(int, add[:3]), n, n * n, int(add[3])]
+                        out[host, field, key] = [tokens, 1, {book}, *map(int, add[:3]), n, n * n, int(add[3])]
                         continue
                     if not covers(o[0], tokens):
                         o[0] = align(o[0], tokens)
                     o[1] += 1
-                    o[2] |= bit
+                    o[2].add(book)
                     o[3] += add[0]
                     o[4] += add[1]
                     o[5] += add[2]
                     o[6] += n
                     o[7] += n * n
                     o[8] += add[3]
-        yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=_STATE)
+        yield pd.DataFrame([(*k, *v[:2], sorted(v[2])[:MOST_BOOKS], *v[3:]) for k, v in out.items()], columns=_STATE)
 
 
 def _sums(df: DataFrame, *keys: str) -> DataFrame:
     numbers = [F.sum(c).alias(c) for c in _STATE[4:] if c != "books"]
-    return df.groupBy(*keys).agg(*numbers, F.bit_or("books").alias("books"), F.collect_set("pattern").alias("patterns"))
+    books = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("books")))), 1, MOST_BOOKS)
+    return df.groupBy(*keys).agg(*numbers, books.alias("books"), F.collect_set("pattern").alias("patterns"))
 
 
 def _edge_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,10 +290,11 @@ def infer_wrappers(fields: DataFrame) -> DataFrame:
     own = checkpoint(_sums(states, "host", "field", "key"))
     # a block has a pattern per batch of pages at most; equal ones are one
     parts = own.select("field", "key", F.posexplode("patterns").alias("_i", "pattern"), *_STATE[4:])
-    parts = parts.select("field", "key", "pattern", *(F.when(F.col("_i") == 0, F.col(c)).otherwise(0).alias(c) for c in _STATE[4:]))
+    parts = parts.select("field", "key", "pattern", *(F.col(c) if c == "books" else F.when(F.col("_i") == 0, F.col(c)).otherwise(0).alias(c) for c in _STATE[4:]))
+    # of a block's books each part may have them all, as equal ones are one
     everywhere = _sums(parts, "field", "key").withColumn("host", F.lit(None).cast("string"))
     enough = lambda df, level: df.where(
-        (F.col("n") >= SUPPORT[level][0]) & (F.bit_count("books") >= SUPPORT[level][1])
+        (F.col("n") >= SUPPORT[level][0]) & (F.size("books") >= SUPPORT[level][1])
     )
     everywhere = checkpoint(everywhere)
     inside = everywhere.where((F.col("n_placed") >= 6) & (F.col("n_top") + F.col("n_end") < OUTSIDE * F.col("n_placed")))

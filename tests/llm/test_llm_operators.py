@@ -257,6 +257,22 @@ def test_long_furniture(spark):
     assert {r for r in map(tuple, page_wrappers.page_furniture(plain).collect())} == got - want
 
 
+def test_books_are_counted_not_hashed(spark):
+    import xxhash
+
+    place = {}
+    for i in range(1000):  # two books of one place among 61
+        a, b = place.setdefault(xxhash.xxh3_64_intdigest(f"b{i}".encode()) % 61, f"b{i}"), f"b{i}"
+        if a != b:
+            break
+    pages = [(page, host, (a, b)[page % 2], *rest) for page, host, _, *rest in site(random.Random(8), 30)[0]]
+    df = spark.createDataFrame(pages, "page_id long, host string, book_id string, title string, body string, footnotes string, key int")
+    found = page_wrappers.infer_wrappers(page_wrappers.with_notices(page_wrappers.pages_by_field(df)))
+    assert found.where("host = 'h.example'").count() > 0
+    one = df.withColumn("book_id", F.lit("b0"))
+    assert page_wrappers.infer_wrappers(page_wrappers.with_notices(page_wrappers.pages_by_field(one))).count() == 0
+
+
 def test_alignment_of_patterns():
     p = page_wrappers.align("most read : a b".split(), "most read : c".split())
     assert p == ["most", "read", ":", "*"] and page_wrappers.covers(p, "most read : x y z".split()) and not page_wrappers.covers(p, "most : x".split())
