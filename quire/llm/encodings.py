@@ -285,7 +285,7 @@ def find_stretches(line: str, model: Classifier, trust: bool = False) -> list[St
         stretch = " ".join(words[at[t] : at[u] + 1])
         gain = s[t : u + 1].sum(axis=0)
         found = None
-        for c in np.argsort(-gain)[:5]:
+        for c in np.argsort(-gain):
             if c == 0 or gain[c] < SURE:
                 break
             chain = CHAINS[c - 1]

@@ -2,6 +2,7 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,23 @@ def test_garbled_lines_edges(spark, model):
     assert encodings.train(df.limit(0)).table.shape[0] > 0
 
 
+def test_every_chain_is_tried(model, monkeypatch):
+    clean = "كتاب جديد في مدرسة"
+    bad = encodings.garble(clean, encodings.CHAINS[0])
+    n = len(encodings.CHAINS) + 1
+
+    def scores(words, m):  # the true chain ranks eighth
+        row = np.zeros(n, dtype=np.float32)
+        row[[c for c in range(2, n) if encodings.CHAINS[c - 1][-1][1] == "utf-8"][:1]] = 50
+        row[[c for c in range(2, n) if encodings.CHAINS[c - 1][-1][1] != "utf-8"][:6]] = 49
+        row[1] = 48
+        return [row for _ in words]
+
+    monkeypatch.setattr(encodings, "_word_scores", scores)
+    monkeypatch.setattr(encodings, "invert", lambda x, chain, f=encodings.invert: f(x, chain) if chain == encodings.CHAINS[0] else (x, False, 0.0))
+    assert encodings.restore(bad, encodings.find_stretches(bad, model)) == clean
+
+
 def brute_spans(rows, n):
     seen = defaultdict(set)
     for key, t in rows:
