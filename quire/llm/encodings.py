@@ -326,9 +326,9 @@ def train(blocks: DataFrame, sample: int = 12_000) -> Classifier:
     Lines whose hash is above about twice the wanted share are dropped where they are read, so that
     what reaches the driver does not grow with the table.
     """
-    n = blocks.agg(F.sum(F.greatest(F.size("lines"), F.lit(0)))).first()[0] or 0
-    share = min(1.0, 2 * sample / max(1, n))
     lines = blocks.select(F.explode("lines").alias("line")).where("length(line) BETWEEN 1 AND 2000")
+    n = lines.agg(F.approx_count_distinct("line")).first()[0] or 0  # repeats fill no sample
+    share = min(1.0, 2 * sample / max(1, n))
     near = F.xxhash64("line") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
     rows = lines.where(near).distinct().orderBy(F.xxhash64("line"), "line").limit(sample).collect()
     return fit([r.line for r in rows])

@@ -78,6 +78,17 @@ def test_every_chain_is_tried(model, monkeypatch):
     assert encodings.restore(bad, encodings.find_stretches(bad, model)) == clean
 
 
+def test_training_sample_is_filled(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(encodings, "fit", got.append)
+    lines = [f"line {i}" for i in range(400)] + ["again"] * 3600
+    df = spark.createDataFrame([(i, lines[i * 40 : i * 40 + 40]) for i in range(100)], "block_id long, lines array<string>")
+    encodings.train(df, sample=100)
+    assert len(set(got[0])) == len(got[0]) == 100
+    encodings.train(df, sample=5000)
+    assert len(set(got[1])) == 401
+
+
 def brute_spans(rows, n):
     seen = defaultdict(set)
     for key, t in rows:
