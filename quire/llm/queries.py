@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_wrappers(spark: SparkSession, d: str) -> DataFrame:
-    return page_wrappers.infer_wrappers(page_wrappers.with_notices(page_wrappers.pages_by_field(table(spark, d, "page_contents"))))
+    return page_wrappers.infer_wrappers(table(spark, d, "page_contents"))
 
 
 def p4_own(spark: SparkSession, d: str) -> DataFrame:

@@ -296,19 +296,46 @@ def test_books_are_counted_not_hashed(spark):
             break
     pages = [(page, host, (a, b)[page % 2], *rest) for page, host, _, *rest in site(random.Random(8), 30)[0]]
     df = spark.createDataFrame(pages, "page_id long, host string, book_id string, title string, body string, footnotes string, key int")
-    found = page_wrappers.infer_wrappers(page_wrappers.with_notices(page_wrappers.pages_by_field(df)))
-    assert found.where("host = 'h.example'").count() > 0
+    found = page_wrappers.infer_wrappers(df)
+    assert found.where("host = 'h.example' AND kind = 'line'").count() > 0
     one = df.withColumn("book_id", F.lit("b0"))
-    assert page_wrappers.infer_wrappers(page_wrappers.with_notices(page_wrappers.pages_by_field(one))).count() == 0
+    assert page_wrappers.infer_wrappers(one).count() == 0
 
 
 def test_alignment_of_patterns():
-    p = page_wrappers.align("most read : a b".split(), "most read : c".split())
-    assert p == ["most", "read", ":", "*"] and page_wrappers.covers(p, "most read : x y z".split()) and not page_wrappers.covers(p, "most : x".split())
-    assert page_wrappers.align(p, "most read : q".split()) == p
+    rng = random.Random(3)
+    streams = [x.split() for x in ("most read : a b", "most read : c", "most read : x y z", "most read : a read")]
+    p = page_wrappers.align(streams)
+    assert p == ["most", "read", ":", "*"] and all(page_wrappers.covers(p, s) for s in streams) and not page_wrappers.covers(p, "most : x".split())
+    assert page_wrappers.align(["a x b".split(), "a b".split()]) == ["a", "*", "b"] and page_wrappers.align([["a", "b"]]) == ["a", "b"]
+    parts = [[rng.choice("abcd") for _ in range(rng.randrange(1, 7))] + ["end"] for _ in range(200)]
+    for _ in range(30):  # whatever the order and the parts met first
+        few = rng.sample(parts, 5)
+        cut = rng.randrange(1, 5)
+        got = set.intersection(*(set(page_wrappers.items(s)) for s in few[:cut])) & set.intersection(*(set(page_wrappers.items(s)) for s in few[cut:]))
+        assert page_wrappers.pattern(min(few), got) == page_wrappers.align(rng.sample(few, 5))
     assert page_wrappers.markup('<li class="x"><a href="y">t</a></li>') == "li.x>a"
 
 
+def test_repeated_groups():
+    assert page_wrappers.runs("hpp-sc", "body", False) == [(4, 6, True)] and page_wrappers.runs("pssp", "body", False) == [(1, 3, False)]
+    assert page_wrappers.runs("ssp", "body", True) == [] and page_wrappers.runs("ss", "footnotes", False) == [] and page_wrappers.runs("bs", "body", True) == [(0, 2, None)]
+
+
+def test_wrappers_do_not_hang_on_layout(spark):
+    df = spark.createDataFrame(site(random.Random(9), 40)[0], "page_id long, host string, book_id string, title string, body string, footnotes string, key int")
+    one, many = (sorted(map(tuple, page_wrappers.infer_wrappers(df.repartition(n)).collect())) for n in (1, 7))
+    assert one == many and {r[2] for r in one} >= {"line", "run"}
+
+
+def test_hosts_lists_too_large_to_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(site(random.Random(10), 40)[0], "page_id long, host string, book_id string, title string, body string, footnotes string, key int")
+    want = {tuple(r) for r in page_wrappers.page_furniture(df).collect()}
+    monkeypatch.setattr(page_wrappers, "SMALL", -1)
+    monkeypatch.setattr(page_wrappers, "SALTED", 7)
+    assert {tuple(r) for r in page_wrappers.page_furniture(df).collect()} == want and want
+
+
 def test_spam_shapes(spark):
     rng = random.Random(5)
     prose = [(i, " ".join(f"{rng.choice(['since', 'while'])} the {rng.choice(WORDS['fr'])} of {rng.choice(WORDS['fr'])} and {rng.choice(WORDS['fr'])} was near the {rng.choice(WORDS['fr'])}." for _ in range(6)), "en") for i in range(60)]
