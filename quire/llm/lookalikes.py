@@ -1,10 +1,12 @@
 """One consistent form for texts that look the same.
 
 Composed compatibility forms, mapped white space and removal of default-ignorable characters, once
-per distinct value. Only differences that do not show are levelled: of the compatibility mappings
-those of width, presentation form and ligature; not superscripts, fractions or circled signs. Case
-shows and stays, unless ``fold_case`` asks for full case folding. Letters of another alphabet become
-the letter whose shape they have in that place of the word; for Arabic that depends on joining.
+per distinct value of a batch. Only differences that do not show are levelled: of the compatibility mappings
+those the character data tag as width, presentation form or no-break, and the block of ligatures; not
+superscripts, fractions or circled signs. Case shows and stays, unless ``fold_case`` asks for full case
+folding. Letters of another alphabet become the letter whose shape they have in that place of the word; for
+Arabic that depends on joining. Characters are taken apart before letters are mapped and composed after,
+so composed and decomposed spellings have one form whatever alphabet their letters are from.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import checkpoint
+
 # Letters with the shape of a Latin letter (shape: letters of other alphabets).
 SAME_SHAPE = {
     "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СᏟϹ", "E": "ЕΕᎬ", "F": "Ϝ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚᏦ",
@@ -74,6 +78,9 @@ def _base(code: int) -> str:
         return " "
     if kind in ("Zl", "Zp") or ch in "\r\x0b\x0c\x85":
         return "\n"
+    apart = unicodedata.normalize("NFD", ch)
+    if apart != ch:  # composed again at the end
+        return "".join(_base(ord(c)) for c in apart)
     parts = unicodedata.decomposition(ch).split()
     if parts and (parts[0] in _TAGS or (parts[0] == "<compat>" and code in _LIGATURES)):
         return "".join(_base(int(p, 16)) for p in parts[1:])
@@ -159,29 +166,47 @@ def with_digests(rows: DataFrame) -> DataFrame:
     ).where("canon IS NOT NULL")
 
 
-def lookalike_pairs(rows: DataFrame) -> DataFrame:
-    """``field, a_id, b_id`` (``a_id < b_id``) of rows ``field, id, text``: different records whose
-    texts have one consistent form and are stored differently. Identical texts are no pair.
-
-    Only forms with two stored texts reach the join; whether a form has two is told by the least and
-    the greatest digest, which combine on the map side.
+def _members(rows: DataFrame) -> DataFrame:
+    """Rows with the digests of forms that have two stored texts or more. The text kernel runs once: digests, not
+    texts, are kept. Whether a form has two is told by the least and the greatest digest, which combine on the map side.
     """
-    d = with_digests(rows)
+    d = checkpoint(with_digests(rows))
     mixed = (
         d.groupBy("field", "canon")
         .agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"))
         .where("lo <> hi")
         .select("field", "canon")
     )
-    members = d.join(mixed, ["field", "canon"], "left_semi").distinct()
-    a = members.select("field", "canon", F.col("id").alias("a_id"), F.col("stored").alias("a_stored"))
-    b = members.select("field", "canon", F.col("id").alias("b_id"), F.col("stored").alias("b_stored"))
-    return (
-        a.join(b, ["field", "canon"])
-        .where("a_id < b_id AND a_stored <> b_stored")
-        .select("field", "a_id", "b_id")
-        .distinct()
-    )
+    return checkpoint(d.join(mixed, ["field", "canon"], "left_semi").distinct())
+
+
+def lookalike_classes(rows: DataFrame) -> DataFrame:
+    """``field, id, class_id, links`` of rows ``field, id, text`` that have a look-alike: the least id of the records
+    with their consistent form, and how many of those are stored differently. A record with two such texts has
+    a row for each. Counts are added per stored text first: a running head on every page is one row there."""
+    m = _members(rows)
+    stored = m.groupBy("field", "canon", "stored").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    whole = stored.groupBy("field", "canon").agg(F.sum("n").alias("all"), F.min("low").alias("class_id"))
+    links = stored.join(whole, ["field", "canon"]).select("field", "canon", "stored", "class_id", (F.col("all") - F.col("n")).alias("links"))
+    return m.join(links, ["field", "canon", "stored"]).select("field", "id", "class_id", "links")
+
+
+def lookalike_pairs(rows: DataFrame) -> DataFrame:
+    """``field, a_id, b_id`` (``a_id < b_id``) of rows ``field, id, text``: different records whose
+    texts have one consistent form and are stored differently. Identical texts are no pair.
+
+    The classes of ``lookalike_classes`` written out: stored texts of a class are paired first, each with
+    each, and their records after that, so no row is made that is no pair.
+    """
+    m = _members(rows)
+    stored = m.select("field", "canon", "stored").distinct()
+    key = ["field", "canon"]
+    forms = (
+        stored.withColumnRenamed("stored", "a").join(stored.withColumnRenamed("stored", "b"), key).where("a < b")
+        .join(m.select(*key, F.col("stored").alias("a"), F.col("id").alias("i")), [*key, "a"])
+        .join(m.select(*key, F.col("stored").alias("b"), F.col("id").alias("j")), [*key, "b"])
+    )
+    return forms.where("i <> j").select("field", F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id")).distinct()
 
 
 def text_fields(blocks: DataFrame, streams: DataFrame) -> DataFrame:

@@ -56,6 +56,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(lookalikes.text_fields(body, table(spark, d, "streams")))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_classes(lookalikes.text_fields(table(spark, d, "pdf_blocks"), table(spark, d, "streams")))
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     rows = lookalikes.text_fields(table(spark, d, "pdf_blocks"), table(spark, d, "streams"))
     return rows.select("field", "id", lookalikes.canonical_udf()("text").alias("text"))
@@ -77,4 +81,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_streams, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_streams, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_classes, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}

@@ -166,6 +166,30 @@ def test_canonical():
     assert lookalikes.canonical("ABC", fold_case=True) == "abc"
 
 
+def test_canonical_of_composed_and_decomposed():
+    marks = "".join(map(chr, range(0x300, 0x345)))
+    letters = "".join(lookalikes.SAME_SHAPE.values()) + "".join(lookalikes.SAME_SHAPE) + "ыйійяαηωאאهيوا"
+    for word in ("ёлка", "їжак", "καλό", "Ёж", "Ὀδύσσεια"):
+        a, b = (lookalikes.canonical(unicodedata.normalize(f, word)) for f in ("NFC", "NFD"))
+        assert a == b == lookalikes.canonical(a), word
+    for x in letters:
+        for m in marks + "ٕٓٔ":
+            for y in (x + m, x + m + "̣"):
+                a, b = (lookalikes.canonical(unicodedata.normalize(f, y)) for f in ("NFC", "NFD"))
+                assert a == b == lookalikes.canonical(a), (x, m)
+    assert lookalikes.canonical("ё") == lookalikes.canonical("ë") != lookalikes.canonical("e")
+
+
+def test_lookalike_classes(spark):
+    rows = [("text", i, "page", 0) for i in range(1, 6)] + [("text", i, "pаge", 0) for i in (6, 7)] + [("text", 8, "ｐａｇｅ", 0), ("text", 8, "ｐａｇｅ", 0), ("text", 9, "other", 0), ("text", 10, None, 0)]
+    df = spark.createDataFrame(rows, "field string, id long, text string, links int")
+    got = {r.id: (r.class_id, r.links) for r in lookalikes.lookalike_classes(df).collect()}
+    assert got == {i: (1, 3) for i in range(1, 6)} | {6: (1, 6), 7: (1, 6), 8: (1, 7)}
+    pairs = lookalikes.lookalike_pairs(df).collect()
+    assert len(pairs) == len(set(pairs)) == sum(n for _, n in got.values()) / 2
+    assert lookalikes.lookalike_classes(df.limit(0)).count() == 0
+
+
 def test_lookalike_pairs(spark):
     rows = [("text", 1, "page"), ("text", 2, "pаge"), ("text", 2, "pаge"), ("text", 3, "page"), ("raw_text", 4, "ｐａｇｅ"), ("text", 5, None), ("text", 6, ""), ("text", 7, "​"), ("text", 8, "Page")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "field string, id long, text string, canon int")
