@@ -7,7 +7,8 @@ a choice by content alone, of which every window of ``length`` holds at least on
 windows hold the same. Only windows around a kept hash that occurs in two texts are hashed (128
 bits) and counted. The result is the same as with all windows counted.
 
-Records with one text between them count once in both passes and are shared throughout.
+Records with one text between them count once in both passes and are shared throughout. What counts
+is in how many records a window stands: two texts under one key are one record.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.asof import overlap_join
 from quire.session import checkpoint
 
 _U = np.uint64
@@ -75,28 +76,14 @@ def kept_hashes(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def text_id(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _heads(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame(
-                {"sid": b.sid, "tid": [text_id(x) for x in b.text], "n": [len(x) for x in b.text]}
-            )
-
-    return run
-
-
 def _prints(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps, tids = [], []
-            for x in b.text:
+            for t, x in zip(b.tid, b.text):
                 h = np.unique(kept_hashes(x, length)[1])
                 fps.append(h)
-                tids.append(np.full(len(h), text_id(x), dtype=np.int64))
+                tids.append(np.full(len(h), t, dtype=np.int64))
             if fps:
                 yield pd.DataFrame({"fp": np.concatenate(fps).view(np.int64), "tid": np.concatenate(tids)})
 
@@ -108,7 +95,7 @@ def _windows(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for tid, x, shared in zip(b.tid, b.text, b.fps):
+            for tid, owner, x, shared in zip(b.tid, b.owner, b.text, b.fps):
                 at, h = kept_hashes(x, length)
                 at = at[np.isin(h.view(np.int64), np.asarray(shared, dtype=np.int64))]
                 if not len(at):
@@ -123,6 +110,7 @@ def _windows(length: int):
                         "h1": rolling_hashes(x, length)[start].view(np.int64),
                         "h2": rolling_hashes(x, length, _BASES[1])[start].view(np.int64),
                         "tid": tid,
+                        "owner": owner,
                         "start": start.astype(np.int32),
                     }
                 )
@@ -139,47 +127,35 @@ def shared_spans(records: DataFrame, keys: list[str], text: str, length: int = 1
     record; two texts under the same keys are not others of each other unless another record has them.
     """
     rows = records.where(F.col(text).isNotNull() & (F.length(text) >= length)).select(
-        *keys, F.xxhash64(*keys).alias("sid"), F.col(text).alias("text")
+        *keys, F.xxhash64(*keys).alias("sid"), F.xxhash64(text).alias("tid"), F.col(text).alias("text")
     )
-    heads = rows.mapInPandas(_heads(length), "sid long, tid long, n int")
+    heads = checkpoint(rows.select(*keys, "sid", "tid", F.length("text").alias("n")).distinct())
     by_text = heads.groupBy("tid").agg(F.min("sid").alias("rep"), F.max("sid").alias("last"), F.max("n").alias("n"))
-    prints = rows.mapInPandas(_prints(length), "fp long, tid long")
+    # who holds a text: its record, or the text itself if several records hold it
+    owners = checkpoint(by_text.select("*", F.when(F.col("rep") == F.col("last"), F.col("rep")).otherwise(F.col("tid")).alias("owner")))
+    prints = checkpoint(rows.mapInPandas(_prints(length), "fp long, tid long").join(owners.select("tid", "owner"), "tid"))
     common = (
-        prints.groupBy("fp").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("fp")
+        prints.groupBy("fp").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b").select("fp")
     )
     wanted = (
         prints.join(common, "fp", "left_semi")
-        .groupBy("tid")
+        .groupBy("tid", "owner")
         .agg(F.collect_set("fp").alias("fps"))
-        .join(by_text.select("tid", F.col("rep").alias("sid")), "tid")
+        .join(owners.select("tid", F.col("rep").alias("sid")), "tid")
     )
     windows = checkpoint(
-        rows.select("sid", "text")
-        .join(wanted, "sid")
-        .select("tid", "text", "fps")
-        .mapInPandas(_windows_checked(length), "h1 long, h2 long, tid long, start int")
+        rows.select("sid", "tid", "text")
+        .join(wanted, ["sid", "tid"])
+        .select("tid", "owner", "text", "fps")
+        .mapInPandas(_windows(length), "h1 long, h2 long, tid long, owner long, start int")
     )
-    twice = windows.groupBy("h1", "h2").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b")
+    twice = windows.groupBy("h1", "h2").agg(F.min("owner").alias("a"), F.max("owner").alias("b")).where("a <> b")
     hits = windows.join(twice.select("h1", "h2"), ["h1", "h2"], "left_semi").select("tid", "start").distinct()
     merged = hits.groupBy("tid").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     spans = merged.mapInPandas(_merge(length), "tid long, span_start int, span_end int")
-    whole = by_text.where("rep <> last").select("tid", F.lit(0).alias("span_start"), F.col("n").alias("span_end"))
+    whole = owners.where("rep <> last").select("tid", F.lit(0).alias("span_start"), F.col("n").alias("span_end"))
     spans = spans.join(whole.select("tid"), "tid", "left_anti").unionByName(whole)
-    names = rows.select(*keys, "sid").distinct()
-    return (
-        heads.select("sid", "tid").distinct().join(spans, "tid").join(names, "sid").select(*keys, "span_start", "span_end")
-    )
-
-
-def _windows_checked(length: int):
-    """Windows of the text that ``tid`` names (a record may have two texts)."""
-    inner = _windows(length)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield from inner(iter([b[[text_id(x) == t for x, t in zip(b.text, b.tid)]]]))
-
-    return run
+    return heads.join(spans, "tid").select(*keys, "span_start", "span_end").distinct()
 
 
 def _merge(length: int):
@@ -199,21 +175,16 @@ def _merge(length: int):
 def shared_by_page(spans: DataFrame, matches: DataFrame) -> DataFrame:
     """``book_id, stream, page, n_chars, n_shared, anchors_hit, score`` of each placed page: how many
     of its characters lie in shared spans. Pages without places or with an empty range have 0;
-    repeated rows count once. Pages meet the spans of their own stream only."""
+    repeated rows count once. Pages meet the spans of their own stream, cell by cell, so that a long stream is no one task."""
     pages = matches.select("book_id", F.col("stream").cast("int").alias("stream"), "page", "start_pos", "end_pos", "anchors_hit", "score").distinct()
-    lists = spans.groupBy("book_id", "stream").agg(
-        F.collect_list(F.struct("span_start", "span_end")).alias("_spans")
-    )
-    inside = F.aggregate(
-        F.coalesce("_spans", F.expr("cast(array() as array<struct<span_start:int,span_end:int>>)")),
-        F.lit(0),
-        lambda acc, s: acc
-        + F.greatest(F.lit(0), F.least(F.col("end_pos"), s["span_end"]) - F.greatest(F.col("start_pos"), s["span_start"])),
+    met = overlap_join(spans, pages.select("book_id", "stream", "page", "start_pos", "end_pos"), ["book_id", "stream"], ("span_start", "span_end"), ("start_pos", "end_pos"))
+    inside = met.groupBy("book_id", "stream", "page", "start_pos", "end_pos").agg(
+        F.sum(F.least("end_pos", "span_end") - F.greatest("start_pos", "span_start")).cast("int").alias("_n")
     )
-    return pages.join(lists, ["book_id", "stream"], "left").select(
+    return pages.join(inside, ["book_id", "stream", "page", "start_pos", "end_pos"], "left").select(
         "book_id", "stream", "page",
         F.greatest(F.lit(0), F.coalesce(F.col("end_pos") - F.col("start_pos"), F.lit(0))).alias("n_chars"),
-        F.when(F.col("start_pos").isNull() | F.col("end_pos").isNull(), 0).otherwise(inside).alias("n_shared"),
+        F.coalesce("_n", F.lit(0)).alias("n_shared"),
         "anchors_hit", "score",
     )
 

@@ -95,7 +95,7 @@ def brute_spans(rows, n):
         for i in range(len(t) - n + 1):
             seen[t[i : i + n]].add(key)
     out = set()
-    for key, t in rows:
+    for key, t in set(rows):
         cur = None
         for i in (i for i in range(len(t) - n + 1) if len(seen[t[i : i + n]]) > 1):
             if cur and i <= cur[1]:
@@ -121,6 +121,15 @@ def test_shared_spans_against_brute_force(spark):
     assert shared_spans.shared_spans(df.limit(0), ["book_id", "stream"], "norm_text").count() == 0
 
 
+def test_two_texts_under_one_key(spark):
+    own, other = "a passage of one record that no other has in it", "a passage that stands in two of the records here"
+    rows = [(("b", 0), own + " one " + other), (("b", 0), "two " + own), (("c", 0), "three " + other), (("d", 1), own[:10]), (("e", 0), "four four four four"), (("e", 1), "four four four four"), (("e", 1), "5 four four four four")]
+    df = spark.createDataFrame([(a, b, t) for (a, b), t in rows], "book_id string, stream int, norm_text string")
+    got = [tuple(r) for r in shared_spans.shared_spans(df, ["book_id", "stream"], "norm_text", 12).collect()]
+    want = brute_spans(rows, 12)
+    assert sorted(got) == sorted(want) and not any(k[:2] == ("b", 0) and k[3] <= len(own) for k in want)
+
+
 def test_shared_by_page(spark):
     spans = spark.createDataFrame([("b", 0, 5, 20)], "book_id string, stream int, span_start int, span_end int")
     m = spark.createDataFrame([("b", 0, 1, 0, 10, 3, 0.5), ("b", 0, 1, 0, 10, 3, 0.5), ("b", 0, 2, 10, 30, 0, 0.1), ("b", 0, 3, None, None, 0, 0.0), ("c", 0, 1, 0, 4, 1, 1.0)], "book_id string, stream int, page int, start_pos int, end_pos int, anchors_hit int, score double")
