@@ -3,8 +3,10 @@
 A grouping genetic algorithm: a solution is a list of containers, crossover injects whole well-filled
 containers of one solution into another, removes the containers that hold the same documents and
 best-fits what that displaced. Documents are dealt into blocks by hash; each block evolves on
-several islands, whose best solutions migrate to the next island between epochs. What lies in poorly
-filled containers of the blocks is packed again across blocks, level by level.
+several islands, whose best solutions migrate to the next island between epochs, until a solution has no more
+containers than ``least_bins`` proves necessary. What lies in poorly filled containers of the blocks is packed
+again across blocks, level by level, while that can save a container; a level has as many blocks as
+what is left fills, so no group grows with the table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from random import Random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +24,10 @@ from quire.llm.token_counts import counter
 from quire.session import checkpoint
 
 #: Documents in a block; islands, epochs, generations and solutions of an island.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, SOLUTIONS = 3000, 2, 2, 6, 4
-#: Containers filled less than this are opened again at the next level; number of blocks that meet there.
-FULL, FAN_IN = 0.985, 32
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, SOLUTIONS = 3000, 4, 3, 12, 6
+#: Containers filled less than this are opened again at the next level; share of the containers or of the
+#: documents left that a level must save for another one.
+FULL, GAIN = 0.985, 0.001
 
 Bins = list[list[int]]
 
@@ -47,6 +51,21 @@ def best_fit(items: list[int], size: list[int], room: int, bins: Bins, loads: li
                 insort(free, (left - s, i))
 
 
+def least_bins(size: list[int], room: int) -> int:
+    """Containers that are needed at least: what does not share a container with anything from ``k`` tokens on, what
+    shares none with each other, and the rest beyond the room those leave, for the ``k`` that proves most."""
+    x = np.sort(np.asarray(size, dtype=np.int64))
+    if not len(x) or not x[-1]:
+        return min(1, len(x))
+    sums = np.r_[0, np.cumsum(x)]
+    half = np.searchsorted(x, room // 2, side="right")  # from here on more than half
+    k = np.unique(np.r_[0, x[:half]])
+    low, high = np.searchsorted(x, k), np.maximum(np.searchsorted(x, room - k, side="right"), half)
+    alone, large = len(x) - high, high - half
+    left = large * room - (sums[high] - sums[half])
+    return int((alone + large + np.maximum(0, -(-(sums[half] - sums[low] - left) // room))).max())
+
+
 def fitness(loads: list[int], room: int) -> float:
     """Mean square of how full containers are: few full ones and one nearly empty beat many half full."""
     return sum((x / room) ** 2 for x in loads) / max(1, len(loads))
@@ -65,6 +84,46 @@ def _solution(order: list[int], size: list[int], room: int, rng: Random, noise:
     return bins, loads
 
 
+def swap_in(displaced: list[int], size: list[int], room: int, bins: Bins, loads: list[int], rng: Random) -> list[int]:
+    """Fill containers better by swaps with what was displaced: one document of a container against one or two
+    larger together that fit. Smaller documents take their place among the displaced, and are easier to
+    place. The bins are changed in place; what is displaced now is returned."""
+    pool = sorted((size[i], i) for i in displaced)
+    order = [i for i, x in enumerate(loads) if x < room]
+    rng.shuffle(order)
+    for b in order:
+        better = True
+        while better and loads[b] < room and pool:
+            better, best = False, (0, -1, ())
+            space = room - loads[b]
+            for at, it in enumerate(bins[b]):
+                s = size[it]
+                k = bisect_left(pool, (s + space + 1, -1)) - 1  # the largest that fits
+                if k >= 0 and pool[k][0] - s > best[0]:
+                    best = (pool[k][0] - s, at, (k,))
+                lo, hi = 0, k
+                while lo < hi and best[0] < space:  # the largest pair that fits
+                    two = pool[lo][0] + pool[hi][0]
+                    if two > s + space:
+                        hi -= 1
+                    else:
+                        if two - s > best[0]:
+                            best = (two - s, at, (lo, hi))
+                        lo += 1
+                if best[0] == space:
+                    break
+            if best[0] > 0:
+                gain, at, came = best
+                out = bins[b][at]
+                bins[b] = [*bins[b][:at], *bins[b][at + 1 :], *(pool[k][1] for k in came)]
+                for k in reversed(came):
+                    pool.pop(k)
+                insort(pool, (size[out], out))
+                loads[b] += gain
+                better = True
+    return [i for _, i in pool]
+
+
 def crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], size: list[int], room: int, rng: Random):
     """A child of ``a`` with whole well-filled containers of ``b``."""
     full = [i for i, x in enumerate(b[1]) if x >= 0.999 * room] or sorted(range(len(b[1])), key=lambda i: -b[1][i])[: len(b[1]) // 3 + 1]
@@ -73,6 +132,7 @@ def crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], size: list[i
     inside = {it for i in take for it in b[0][i]}
     bins, loads, displaced = [b[0][i] for i in take], [b[1][i] for i in take], []
     low = sorted(range(len(a[1])), key=lambda i: a[1][i])[: max(1, len(a[1]) // 20)]
+    low += [i for i in rng.sample(range(len(a[1])), min(3, len(a[1]))) if i not in low]
     opened = {i for i in low if a[1][i] < room}
     for i, (bin_, load) in enumerate(zip(*a)):
         if i in opened or not inside.isdisjoint(bin_):
@@ -81,7 +141,7 @@ def crossover(a: tuple[Bins, list[int]], b: tuple[Bins, list[int]], size: list[i
             bins.append(bin_)
             loads.append(load)
     bins = [list(x) if loads[i] < room else x for i, x in enumerate(bins)]
-    best_fit(displaced, size, room, bins, loads)
+    best_fit(swap_in(displaced, size, room, bins, loads, rng), size, room, bins, loads)
     return bins, loads
 
 
@@ -92,7 +152,7 @@ def evolve(size: list[int], room: int, seed: int, elites: list[Bins], generation
     people = [(e, [sum(size[i] for i in x) for x in e]) for e in elites]
     while len(people) < SOLUTIONS:
         people.append(_solution(order, size, room, rng, 0.0 if not people else 0.08 + 0.1 * rng.random()))
-    lower = -(-sum(size) // room)
+    lower = least_bins(size, room)
     people.sort(key=lambda p: -fitness(p[1], room))
     for _ in range(generations):
         if len(people[0][1]) <= lower:
@@ -148,7 +208,7 @@ def _start(g: pd.DataFrame) -> pd.DataFrame:
     g = g.sort_values(["doc_id", "piece"], ignore_index=True)
     room, size = int(g.room[0]), g.tokens.tolist()
     bins = evolve(size, room, hash((int(g.spec_id[0]), int(g.block[0]))), [])
-    return _rows(g.assign(island=-1 if len(bins) <= -(-sum(size) // room) else 0), bins)
+    return _rows(g.assign(island=-1 if len(bins) <= least_bins(size, room) else 0), bins)
 
 
 def pack_blocks(items: DataFrame) -> DataFrame:
@@ -197,7 +257,6 @@ def pack_documents(documents: DataFrame, specs: DataFrame, folder: str | None =
         return documents.sparkSession.createDataFrame([], "spec_id int, doc_id long, piece int, tokens int, container string")
     names = sorted({r.tokenizer for r in rows})
     sizes = checkpoint(document_sizes(documents.where("doc_id IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"]), names, folder))
-    n_blocks = max(1, -(-sizes.count() // BLOCK))
     spec = F.explode(
         F.array(*(F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity).cast("int").alias("room"), F.col("sizes")[names.index(r.tokenizer)].alias("total")) for r in rows))
     ).alias("_s")
@@ -208,27 +267,50 @@ def pack_documents(documents: DataFrame, specs: DataFrame, folder: str | None =
         "spec_id", "doc_id", F.explode(F.expr("sequence(0, cut - 1)")).alias("piece"), F.col("room").alias("tokens")
     )
     full = full.withColumn("container", F.format_string("f%d-%d", "doc_id", "piece"))
-    items = per.select(
-        "spec_id", "room", F.expr(f"pmod(xxhash64(doc_id), {n_blocks})").alias("block"), "doc_id",
-        F.col("cut").alias("piece"), (F.col("total") - F.col("cut") * F.col("room")).cast("int").alias("tokens"),
-    )
-    done, level = [], 0
-    while True:
-        packed = checkpoint(pack_blocks(items))
+    left = per.select(
+        "spec_id", "room", "doc_id", F.col("cut").alias("piece"), (F.col("total") - F.col("cut") * F.col("room")).cast("int").alias("tokens")
+    )
+    columns = ["spec_id", "doc_id", "piece", "tokens", "container"]
+    out, level = full.select(*columns), 0
+    n_left = {int(r.spec_id): sizes.count() for r in rows}
+    n_blocks = {i: max(1, -(-n // BLOCK)) for i, n in n_left.items()}
+    while n_blocks:
+        salt = F.xxhash64("doc_id", F.lit(level))
+        block = F.pmod(salt, F.element_at(F.create_map(*(F.lit(x) for kv in n_blocks.items() for x in kv)), F.col("spec_id")))
+        packed = checkpoint(pack_blocks(left.withColumn("block", block.cast("long"))))
         named = packed.withColumn("container", F.format_string(f"l{level}-%d-%d", "block", "bin"))
-        if n_blocks == 1:
-            done.append(named)
-            break
-        loads = named.groupBy("spec_id", "container").agg(F.sum("tokens").alias("load"), F.max("room").alias("_r"))
-        low = loads.where(F.col("load") < FULL * F.col("_r")).select("spec_id", "container")
-        done.append(named.join(low, ["spec_id", "container"], "left_anti"))
-        n_blocks = -(-n_blocks // FAN_IN)
-        items = named.join(low, ["spec_id", "container"], "left_semi").select(
-            "spec_id", "room", F.expr(f"pmod(xxhash64(doc_id, {level}), {n_blocks})").alias("block"), "doc_id", "piece", "tokens"
+        loads = named.groupBy("spec_id", "container").agg(
+            F.sum("tokens").alias("load"), F.max("room").alias("_r"), F.count("*").alias("_n"), F.sum((2 * F.col("tokens") > F.col("room")).cast("int")).alias("_half")
         )
+        low = loads.where(F.col("load") < FULL * F.col("_r"))
+        state = loads.groupBy("spec_id").agg(
+            F.max("_r").alias("room"), F.count("*").alias("bins"),
+            *(F.sum(F.when(F.col("load") < FULL * F.col("_r"), c).otherwise(0)).alias(n) for c, n in ((F.lit(1), "low"), (F.col("load"), "load"), (F.col("_n"), "items"), (F.col("_half"), "half"))),
+        ).collect()
+        again = {}
+        for r in state:  # a row for each setting
+            can_save = r.low > max(-(-r.load // r.room), r.half)
+            shrinks = r["items"] <= (1 - GAIN) * n_left[r.spec_id] or level == 0
+            if n_blocks[r.spec_id] > 1 and can_save and shrinks:
+                again[r.spec_id], n_left[r.spec_id] = max(1, -(-r["items"] // BLOCK)), r["items"]
+        n_blocks = again
+        opened = low.where(F.col("spec_id").isin(list(again))).select("spec_id", "container")
+        out = out.unionByName(named.join(opened, ["spec_id", "container"], "left_anti").select(*columns))
+        left = named.join(opened, ["spec_id", "container"], "left_semi").select("spec_id", "room", "doc_id", "piece", "tokens")
         level += 1
-    columns = ["spec_id", "doc_id", "piece", "tokens", "container"]
-    out = full.select(*columns)
-    for d in done:
-        out = out.unionByName(d.select(*columns))
     return out
+
+
+def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """``spec_id, n_docs, n_over, n_divided, tight`` of ``pack_documents``: documents, containers above the capacity,
+    documents divided that fit in one, and whether there are at most 0.1 % and one container more than
+    all tokens need. A row for each spec that has a document."""
+    room = specs.groupBy("spec_id").agg(F.max("capacity").cast("int").alias("room"))
+    loads = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("load")).join(F.broadcast(room), "spec_id")
+    bins = loads.groupBy("spec_id").agg(
+        F.sum((F.col("load") > F.col("room")).cast("int")).alias("n_over"),
+        (F.count("*") <= F.lit(1.001) * F.ceil(F.sum("load") / F.max("room")) + 1).alias("tight"),
+    )
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).join(F.broadcast(room), "spec_id")
+    docs = docs.groupBy("spec_id").agg(F.count("*").alias("n_docs"), F.sum(((F.col("n") > 1) & (F.col("t") <= F.col("room"))).cast("int")).alias("n_divided"))
+    return docs.join(bins, "spec_id").select("spec_id", "n_docs", "n_over", "n_divided", "tight")

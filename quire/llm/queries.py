@@ -73,6 +73,10 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p7_packed(spark, d), table(spark, d, "pack_specs"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam_shapes.spam_documents(table(spark, d, "documents"))
 
@@ -81,4 +85,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_shares(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_streams, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_classes, p5_canonical, p6_ids, p7_packed, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_pages, p2_streams, p3_found, p3_clean, p4_found, p4_wrappers, p4_own, p5_found, p5_classes, p5_canonical, p6_ids, p7_packed, p7_report, p8_found, p8_shares)}

