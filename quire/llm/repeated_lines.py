@@ -1,20 +1,21 @@
 """Lines repeated across the pages of one source.
 
-Each line's pages are a compressed bitmap: a row per 64 pages that hold the line, one word of 64
-bits. Variants of a line (spacing, digits, letter forms) share a key; their bitmaps are united by
-``bit_or``, which combines on the map side, and exact cardinalities decide. Deletion looks the
-key up in the bitmaps that reached the threshold.
+Each line's pages are a compressed bitmap: of its words of 64 pages only those that are not empty.
+Variants of a line (spacing, digits, letter forms) share a key; their words are united by ``bit_or``, which
+combines on the map side, and exact cardinalities decide which bitmaps are put together and kept. A line is
+deleted if its page's bit is set in the kept bitmap of its key. Lines are keyed once.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.digests import digest
 from quire.functions.normalize import TABLE
+from quire.session import checkpoint
 
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 
@@ -47,23 +48,26 @@ def keyed_lines(blocks: DataFrame) -> DataFrame:
     )
 
 
-def page_bitmaps(lines: DataFrame) -> DataFrame:
-    """Union of the variants' bitmaps: book_id, key, chunk (page div 64), word (64 bits)."""
-    return (
+def page_bitmaps(lines: DataFrame, min_pages: int = 8) -> DataFrame:
+    """``book_id, key, bitmap, n_pages`` of the keys on at least ``min_pages`` pages of their book: ``bitmap`` maps a
+    word's number (page div 64) to its 64 bits, in the union of all variants."""
+    words = (
         lines.where("page IS NOT NULL AND book_id IS NOT NULL")
-        .withColumn("chunk", F.expr("shiftright(page, 6)"))
-        .groupBy("book_id", "key", "chunk")
+        .groupBy("book_id", "key", F.expr("shiftright(page, 6)").alias("chunk"))
         .agg(F.expr("bit_or(shiftleft(1L, pmod(page, 64)))").alias("word"))
     )
+    n_pages = F.aggregate("_w", F.lit(0), lambda n, w: n + F.bit_count(w["word"]))
+    return (
+        words.groupBy("book_id", "key").agg(F.collect_list(F.struct("chunk", "word")).alias("_w"))
+        .withColumn("n_pages", n_pages).where(F.col("n_pages") >= min_pages)
+        .select("book_id", "key", F.map_from_entries("_w").alias("bitmap"), "n_pages")
+    )
 
 
-def repeated_keys(bitmaps: DataFrame, min_pages: int = 8) -> DataFrame:
-    """Keys on at least ``min_pages`` distinct pages of their book, with the exact number."""
-    return (
-        bitmaps.groupBy("book_id", "key")
-        .agg(F.sum(F.bit_count("word")).cast("int").alias("n_pages"))
-        .where(F.col("n_pages") >= min_pages)
-    )
+def in_bitmap(bitmap: Column, page: Column) -> Column:
+    """Whether a page's bit is set; true for a null page, which no bit stands for."""
+    word = F.coalesce(F.try_element_at(bitmap, F.shiftright(page, 6)), F.lit(0).cast("long"))
+    return page.isNull() | (F.getbit(word, F.pmod(page, F.lit(64))) == 1)
 
 
 def find_repeated_lines(blocks: DataFrame, min_pages: int = 8) -> DataFrame:
@@ -72,9 +76,10 @@ def find_repeated_lines(blocks: DataFrame, min_pages: int = 8) -> DataFrame:
     Null lines arrays, null lines and lines without letters are no cases. Rows without a page count
     for no page, but are cases if their line recurs. Repeated rows count once.
     """
-    lines = keyed_lines(blocks)
-    keys = repeated_keys(page_bitmaps(lines), min_pages).select("book_id", "key")
-    return lines.join(keys, ["book_id", "key"], "left_semi").select("block_id", "line_no").distinct()
+    lines = checkpoint(keyed_lines(blocks))
+    kept = page_bitmaps(lines, min_pages).select("book_id", "key", "bitmap")
+    found = lines.join(kept, ["book_id", "key"]).where(in_bitmap(F.col("bitmap"), F.col("page")))
+    return found.select("block_id", "line_no").distinct()
 
 
 def remove_repeated_lines(blocks: DataFrame, min_pages: int = 8) -> DataFrame:

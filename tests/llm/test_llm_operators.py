@@ -157,6 +157,17 @@ def test_repeated_lines(spark):
     assert repeated_lines.find_repeated_lines(df.limit(0)).count() == 0 and repeated_lines.find_repeated_lines(df, 9).count() == 0
 
 
+def test_page_bitmaps(spark):
+    rng = random.Random(2)
+    rows = [(f"b{rng.randrange(3)}", bytes([rng.randrange(4)]), rng.choice([0, 5, 63, 64, 65, 127, 128, 5000, rng.randrange(9000)])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "book_id string, key binary, page int")
+    got = repeated_lines.page_bitmaps(df, 5)
+    assert {(r.book_id, bytes(r.key)): r.n_pages for r in got.collect()} == {k: n for k, n in ((k, len({p for *x, p in rows if tuple(x) == k})) for k in {r[:2] for r in rows}) if n >= 5}
+    asked = got.crossJoin(spark.createDataFrame([(p,) for p in (0, 1, 5, 63, 64, 66, 128, 5000, None)], "page int"))
+    for r in asked.select("book_id", "key", "page", repeated_lines.in_bitmap(F.col("bitmap"), F.col("page")).alias("x")).collect():
+        assert r.x == (r.page is None or (r.book_id, bytes(r.key), r.page) in set(rows))
+
+
 def test_repeated_lines_hot_key(spark):
     df = spark.range(3000).select(F.col("id").alias("block_id"), F.lit("b").alias("book_id"), (F.col("id") % 200).cast("int").alias("page"), F.array(F.lit("same line"), F.concat(F.lit("own "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).alias("lines"))
     assert repeated_lines.find_repeated_lines(df).count() == 3000
