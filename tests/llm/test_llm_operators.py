@@ -456,6 +456,25 @@ def test_spam_shapes(spark):
     assert spam_shapes.spam_documents(df.limit(0)).count() == 0
 
 
+def test_shapes():
+    words = spam_shapes.Words({"the", "of"})
+    cut = lambda x: spam_shapes._cut(x, words)
+    assert cut("a | b | c | d")[1] == "|" and cut("a, b, c, d")[1] == "," and cut("a b c d") == (["a b c d"], "") and cut("the loom, of it. Next")[0] == ["the loom, of it.", "Next"]
+    names = {spam_shapes.shape("loom kit", words, sep)[0] for sep in ("|", ",", "")}
+    assert len(names) == 3 and spam_shapes.shape("the loom of it.", words) == ("word 3-5 c. s", True)
+    assert spam_shapes.shape("LOOM AB-12", words)[0] == "code 1-2 C x" and spam_shapes.shape("see https://a.example", words)[1] is False and spam_shapes.shape("-", words) == ("word 0 c x", False)
+    total, groups = spam_shapes.shape_groups("loom | kiln | tile | dune\nthe loom of the mill.", words)
+    assert total == 36 and groups == {"word 1-2 c | x": [4, 16]}
+
+
+def test_many_shapes_are_no_pile(spark):
+    kinds = ["loom", "Loom Kiln Tile", "#loom", "AB-12", "loom kiln tile dune", "Loom.", "https://s.example/a", "loom kiln tile dune loft mill"]
+    rows = [(1, "\n".join(x for k in kinds for x in [k] * 3)), (2, "\n".join(["loom", "AB-12"] * 12)), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.share for r in spam_shapes.spam_documents(df, {"the"}, over=0.0).collect()}
+    assert 0 < got[1] < 1 and got[2] == 1.0 and 3 not in got
+
+
 def test_common_words_of_short_texts(spark):
     rng = random.Random(3)
     small = "ka lo mi su ne ra to vi pe du sa lu".split()
