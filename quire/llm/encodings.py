@@ -8,6 +8,7 @@ stretch counts as recovered if the bytes decode strictly and the result reads li
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.lookalikes import SAME_SHAPE
+
 # The chains, as (true encoding, encoding it was read with) steps in order.
 _OVER_UTF8 = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp1256", "iso8859_6", "cp437", "cp850", "cp866")
 CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
@@ -94,7 +97,7 @@ def invert(text: str, chain: tuple[tuple[str, str], ...]) -> tuple[str, bool, fl
 _BUCKETS = 1 << 16
 #: What the class of a stretch must gain over clean; what its inversion must gain as clean text, in
 #: all and for each bigram.
-SURE, BETTER, BETTER_EACH = 4.0, 9.0, 3.5
+SURE, BETTER, BETTER_EACH = 4.0, 9.0, 2.5
 #: Share of the signs beyond ASCII that must be readable for a stretch that does not decode strictly.
 READABLE = 0.5
 #: Bucket of all pairs of ASCII bytes, which say nothing about the encoding.
@@ -113,6 +116,19 @@ def _script(word: str) -> int:
 
 
 
+_INNER_SIGN = re.compile(r"[^\W\d_][^\w\s\x00-\x7f\u2010-\u2015\u2018-\u201f\u200b-\u200f\ufeff\u00ad\u00a0][^\W\d_]")
+_ALIKE = {c for v in SAME_SHAPE.values() for c in v}
+
+
+def _doubtful(word: str) -> bool:
+    """Whether a word teaches nothing about clean text: a sign between letters, or among Latin letters Greek or
+    Cyrillic ones that do not pass for Latin. In a garbled sample such words would stand for clean ones."""
+    if _INNER_SIGN.search(word):
+        return True
+    other = [c for c in word if "\u0370" <= c <= "\u052f"]
+    return bool(other) and any(c.isascii() and c.isalpha() for c in word) and not _ALIKE.issuperset(other)
+
+
 def _bigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte bigrams of all words (with a space on either side), and where words start."""
     raw = [b" " + w.encode("utf-8", "surrogatepass") + b" " for w in words]
@@ -160,6 +176,7 @@ def fit(lines: list[str], smooth: float = 0.05) -> Classifier:
         if model is not None:
             lines = [x for x in lines if not find_stretches(x, model, trust=True)]
         words = Counter(w for x in lines for w in x.split(" ") if w and not w.isascii())
+        words = Counter({w: n for w, n in words.items() if not _doubtful(w)})
         groups = [{w: n for w, n in words.items() if _script(w) == i} for i in range(_N_CLEAN)]
         for chain in CHAINS:
             bad = Counter()
@@ -245,9 +262,16 @@ def _clean_fit(text: str, model: Classifier) -> tuple[float, int]:
     return float(np.add.reduceat(model.table[h, :_N_CLEAN], starts, axis=0).max(axis=1).sum()), int((h != NEUTRAL).sum())
 
 
-def _reads_better(before: str, after: str, model: Classifier) -> bool:
+_MIXED = re.compile("[\u0620-\u06d3][\u064b-\u065f]*[A-Za-z\u00c0-\u024f]|[A-Za-z\u00c0-\u024f][\u0620-\u06d3]")
+
+
+def _reads_better(before: str, after: str, model: Classifier, proven: bool = False) -> bool:
+    """Whether a stretch reads better inverted. Sequences of UTF-8 that all decode are ``proven``: they need not gain
+    for each bigram, as a single quotation mark or number cannot."""
+    if len(_MIXED.findall(after)) > len(_MIXED.findall(before)):  # no clean word holds Arabic and Latin letters
+        return False
     (a, n), (b, m) = _clean_fit(before, model), _clean_fit(after, model)
-    return b > a + BETTER and b / max(1, m) > a / max(1, n) + BETTER_EACH
+    return b > a + BETTER and (proven or b / max(1, m) > a / max(1, n) + BETTER_EACH)
 
 
 def _borders_clean(words: list[str], first: int, last: int) -> bool:
@@ -294,7 +318,7 @@ def find_stretches(line: str, model: Classifier, trust: bool = False) -> list[St
                 continue
             back, strict, share = invert(stretch, chain)
             whole = strict or chain[0][0] == "utf-8" or LOST in stretch
-            if back != stretch and whole and share >= READABLE and _reads_better(stretch, back, model):
+            if back != stretch and whole and share >= READABLE and _reads_better(stretch, back, model, strict and chain[0][0] == "utf-8"):
                 if strict:
                     found = Stretch(at[t], at[u], int(c) - 1, back)
                     break
@@ -320,17 +344,21 @@ def chain_name(chain: int) -> str:
     return ", ".join(f"{a} as {b}" for a, b in CHAINS[chain])
 
 
-def train(blocks: DataFrame, sample: int = 12_000) -> Classifier:
-    """Fit on a bounded sample: ``sample`` distinct lines with the least hashes.
+def train(blocks: DataFrame, sample: int = 12_000, longest: int = 2000) -> Classifier:
+    """Fit on a bounded sample: of the lines with Arabic letters and of the others (ASCII aside, which says nothing
+    about encodings) ``sample`` distinct lines each with the least hashes, none over ``longest`` characters.
 
     Lines whose hash is above about twice the wanted share are dropped where they are read, so that
-    what reaches the driver does not grow with the table.
+    what reaches the driver does not grow with the table. Every line is classified, whatever its length.
     """
-    lines = blocks.select(F.explode("lines").alias("line")).where("length(line) BETWEEN 1 AND 2000")
-    n = lines.agg(F.approx_count_distinct("line")).first()[0] or 0  # repeats fill no sample
-    share = min(1.0, 2 * sample / max(1, n))
-    near = F.xxhash64("line") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
-    rows = lines.where(near).distinct().orderBy(F.xxhash64("line"), "line").limit(sample).collect()
+    lines = blocks.select(F.explode("lines").alias("line")).where(F.length("line") <= longest).where(F.col("line").rlike(r"[^\x00-\x7F]"))
+    arabic = F.col("line").rlike("[\u0600-\u06ff]")
+    n = {r[0]: r[1] for r in lines.groupBy(arabic).agg(F.approx_count_distinct("line")).collect()}  # repeats fill no sample
+    rows = []
+    for group, count in sorted(n.items()):
+        share = min(1.0, 2 * sample / max(1, count))
+        near = F.xxhash64("line") < int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)
+        rows += lines.where((arabic == group) & near).distinct().orderBy(F.xxhash64("line"), "line").limit(sample).collect()
     return fit([r.line for r in rows])
 
 

@@ -51,6 +51,25 @@ def test_held_out_accuracy(model):
     assert found and found[0].restored is None
 
 
+def test_signs_alone_and_recall_by_chain():
+    rng = random.Random(14)
+    signed = [" ".join(rng.choice(("{}", "{}", "{}", "\u201c{}", "{}\u201d", "{}\u2019s", "\u2014 {}")).format(w) for w in x.split()) for x in sentences("fr", 800, 5)]
+    model = encodings.fit(sentences("ar", 1500, 1) + signed + sentences("ru", 100, 3))
+    for x in ("le jardin again\u2019s. dans", "en \u201cgrand rouge\u201d petit", "petit \u2014 grand"):
+        for chain in encodings.CHAINS:
+            if chain in ((("utf-8", "cp1252"),), (("utf-8", "mac_roman"),), (("utf-8", "cp1252"), ("utf-8", "cp1252"))):
+                bad = encodings.garble(x, chain)
+                assert encodings.restore(bad, encodings.find_stretches(bad, model)) == x, (x, chain)
+    clean = sentences("ar", 60, 31) + sentences("fr", 60, 32)
+    assert sum(bool(encodings.find_stretches(x, model)) for x in clean + signed[:100]) == 0
+    for chain in encodings.CHAINS:
+        bad = [(x, g) for x in clean if (g := encodings.garble(x, chain)) != x and g.count("?") <= x.count("?")]
+        found = [encodings.find_stretches(g, model) for _, g in bad]
+        if len(bad) >= 20 and chain[-1][1] != "utf-8" and chain[0][0] == "utf-8":
+            assert sum(map(bool, found)) >= 0.97 * len(bad), chain
+            assert sum(encodings.restore(g, f) == x for (x, g), f in zip(bad, found)) >= 0.9 * len(bad), chain
+
+
 def test_garbled_lines_edges(spark, model):
     bad = encodings.garble("كتاب جديد في مدرسة", encodings.CHAINS[0])
     rows = [(1, [bad, "كتاب", None, ""], "x"), (1, [bad, "كتاب", None, ""], "x"), (2, None, "x"), (3, [], "x"), (4, ["كتاب " * 5000], "x")]
@@ -81,12 +100,14 @@ def test_every_chain_is_tried(model, monkeypatch):
 def test_training_sample_is_filled(spark, monkeypatch):
     got = []
     monkeypatch.setattr(encodings, "fit", got.append)
-    lines = [f"line {i}" for i in range(400)] + ["again"] * 3600
+    lines = [f"lïne {i}" for i in range(400)] + ["agaïn"] * 3500 + [f"كتاب {i}" for i in range(50)] + ["plain"] * 50
     df = spark.createDataFrame([(i, lines[i * 40 : i * 40 + 40]) for i in range(100)], "block_id long, lines array<string>")
     encodings.train(df, sample=100)
-    assert len(set(got[0])) == len(got[0]) == 100
+    assert len(set(got[0])) == len(got[0]) == 150
     encodings.train(df, sample=5000)
-    assert len(set(got[1])) == 401
+    assert len(set(got[1])) == 451
+    encodings.train(df, longest=6)
+    assert set(got[2]) == {"agaïn"} | {f"lïne {i}" for i in range(10)} | {f"كتاب {i}" for i in range(10)}
 
 
 def brute_spans(rows, n):
