@@ -1,40 +1,50 @@
-"""Where a page may be cut: after openers, between words, at the raw place of a normalised one."""
+"""Where a page may be cut: before openers, between words, at the raw place of a normalised one.
+
+Cuts are expressions over a text and a place in it: what stands before the place and after it is read
+off by regular expressions inside code generation. Give them the neighbourhood of a cut, not a whole book.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Opening brackets and quotes a cut moves in front of.
 OPENERS = "([{«“‘\"'﴾﴿"
 
+_OPEN = "[" + "".join("\\" + c if c in "([{" else c for c in OPENERS) + "]"
+#: Openers up to the cut, each with at most one space after it.
+_OPENERS_BEFORE = rf"(?U)((?:{_OPEN}\s?)+)\z"
+_IN_WORD = r"(?U)[\p{L}\p{N}]"
+#: Words a search for the nearest start passes at most so many characters of.
+RADIUS = 14
+
+
+def _halves(text: Column, at: Column) -> tuple[Column, Column]:
+    return F.substring(text, F.lit(1), at), F.substring(text, at + 1, F.length(text))
+
 
-def before_openers(text: str, at: int) -> int:
+def before_openers(text: Column, at: Column) -> Column:
     """Move a cut left over openers, and over single spaces that follow one."""
-    while at > 0:
-        c = text[at - 1]
-        if c in OPENERS or (c.isspace() and at > 1 and text[at - 2] in OPENERS):
-            at -= 1
-        else:
-            break
-    return at
-
-
-def word_start(text: str, at: int, radius: int = 14) -> int:
-    """Move a cut inside a word to the nearest start of a word, to the left on ties."""
-    if not 0 < at < len(text) or not (text[at - 1].isalnum() and text[at].isalnum()):
-        return at
-    starts = (p for d in range(1, radius + 1) for p in (at - d, at + d))
-    fits = (p for p in starts if 0 < p < len(text) and text[p - 1].isspace() and not text[p].isspace())
-    return next(fits, at)
-
-
-@F.pandas_udf(T.IntegerType())
-def snap(text: pd.Series, at: pd.Series) -> pd.Series:
+    before, _ = _halves(text, at)
+    return at - F.length(F.regexp_extract(before, _OPENERS_BEFORE, 1))
+
+
+def word_start(text: Column, at: Column, radius: int = RADIUS) -> Column:
+    """Move a cut inside a word to the nearest start of a word within ``radius``, to the left on ties."""
+    before, after = _halves(text, at)
+    inside = before.rlike(_IN_WORD + r"\z") & after.rlike(r"\A" + _IN_WORD)
+    back = F.length(F.regexp_extract(before, r"(?U)\s(\S+)\z", 1))
+    ahead = F.length(F.regexp_extract(after, r"(?U)\A(\S*\s+)\S", 1))
+    near = lambda n: F.when(n.between(1, radius), n).otherwise(radius + 1)
+    left, right = near(back), near(ahead)
+    move = F.when(F.least(left, right) > radius, 0).when(left <= right, -left).otherwise(right)
+    return at + F.when(inside, move).otherwise(0)
+
+
+def snap(text: Column, at: Column) -> Column:
     """A cut in raw text, moved before openers and out of words; null stays null."""
-    return pd.Series([None if t is None or pd.isna(i) else word_start(t, before_openers(t, int(i))) for t, i in zip(text, at)], dtype="Int32")
+    return word_start(text, before_openers(text, at))
 
 
 def to_raw(norm_map: Column, place: Column, raw_length: Column) -> Column:

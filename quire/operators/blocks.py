@@ -54,7 +54,7 @@ def classify(blocks: DataFrame, pages: DataFrame, header_frac: float = 0.12, foo
 
 def body_font_sizes(body: DataFrame) -> DataFrame:
     """``book_id, body_font_size``: the half point size with most characters; of equals the smaller one."""
-    chars = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
+    chars = F.coalesce(F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
     w = body.select("book_id", (F.bround(F.col("font_size") * 2) / 2).alias("_size"), chars.alias("_n"))
     w = w.groupBy("book_id", "_size").agg(F.sum("_n").alias("_n"))
     return w.groupBy("book_id").agg(F.max_by("_size", F.struct("_n", -F.col("_size"))).alias("body_font_size"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.functions.cuts import slice_text
-from quire.operators.asof import asof_join, overlap_join
+from quire.functions.cuts import slice_text, snap, to_raw
+from quire.operators.asof import asof_join, nearest_join, overlap_join
 
 
 def paragraphs(texts: DataFrame, column: str) -> DataFrame:
@@ -34,9 +38,29 @@ def page_of(offsets: DataFrame, pages: DataFrame, at: str) -> DataFrame:
 
 
 def unique_ids(rows: DataFrame) -> DataFrame:
-    """Ids (``book_id, page, ord, id``) made unique on their page: the second becomes ``id-d2`` and so on."""
-    n = F.row_number().over(Window.partitionBy("book_id", "page", "id").orderBy("ord"))
-    return rows.withColumn("_n", n).withColumn("new_id", F.when(F.col("_n") == 1, F.col("id")).otherwise(F.format_string("%s-d%d", "id", "_n"))).drop("_n")
+    """Ids (``book_id, page, ord, doc, id``) made unique on their page as ``new_id``: the first keeps its id, the next of
+    document 3 is ``id-d3``, then ``id-d3-2`` and so on; numbers that would meet an id the page has are passed over.
+
+    Which numbers are free hangs on the rows before, so a page's ids are one call; only ids that come
+    again, or look like a suffix, go there.
+    """
+    base = F.regexp_replace("id", r"(-d\d+(-\d+)?)+$", "")
+    several = F.count("*").over(Window.partitionBy("book_id", "page", base)) > 1
+    t = rows.withColumn("_many", several & F.col("id").isNotNull())
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ord", ignore_index=True)
+        taken: set[str] = set()
+        out = []
+        for doc, name in zip(g.doc, g.id):
+            tries = chain([name, f"{name}-d{doc}"], (f"{name}-d{doc}-{n}" for n in count(2)))
+            out.append(next(x for x in tries if x not in taken))
+            taken.add(out[-1])
+        return g.assign(new_id=out)
+
+    schema = StructType([*rows.schema.fields, StructField("new_id", StringType())])
+    renamed = t.where("_many").drop("_many").groupBy("book_id", "page").applyInPandas(run, schema)
+    return t.where("NOT _many").drop("_many").withColumn("new_id", F.col("id")).unionByName(renamed)
 
 
 def resolve_links(links: DataFrame, docs: DataFrame, resources: DataFrame, ids: DataFrame) -> DataFrame:
@@ -54,40 +78,68 @@ def resolve_links(links: DataFrame, docs: DataFrame, resources: DataFrame, ids:
     return t.select(*links.columns, href.alias("href"), kind.alias("kind"))
 
 
-def extend_over_headers(cuts: DataFrame, max_steps: int = 3) -> DataFrame:
-    """Cuts of notes moved back over short notes their page begins with.
+def raw_cuts(pages: DataFrame, texts: DataFrame, reach: int = 60) -> DataFrame:
+    """``book_id, stream, page, cut``: places in raw text where pages (``page, boundary, pdf_chars``) begin, from texts
+    (``raw_text, norm_map``). Cuts of pages with text move before openers and out of words; cuts never fall.
+    """
+    lists = pages.groupBy("book_id", "stream").agg(F.collect_list(F.struct("page", "boundary", "pdf_chars")).alias("_b"))
+    raw = lambda b: to_raw(F.col("norm_map"), b["boundary"], F.length("raw_text"))
+    around = lambda b: F.substring(F.col("raw_text"), F.greatest(raw(b) - reach, F.lit(0)) + 1, F.lit(2 * reach))
+    cut = F.transform("_b", lambda b: F.struct(b["page"].alias("page"), b["pdf_chars"].alias("n"), raw(b).alias("cut"), around(b).alias("near")))
+    t = lists.join(texts.select("book_id", "stream", "raw_text", "norm_map"), ["book_id", "stream"]).select(
+        "book_id", "stream", F.length("raw_text").alias("_n"), F.explode(cut).alias("_x")
+    )
+    at = F.least(F.col("_x.cut"), F.lit(reach))
+    moved = F.col("_x.cut") + F.when(F.col("_x.n") > 0, snap(F.col("_x.near"), at) - at).otherwise(0)
+    w = Window.partitionBy("book_id", "stream").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("book_id", "stream", F.col("_x.page").alias("page"), F.least(moved, F.col("_n")).alias("_m"))
+    return t.select("book_id", "stream", "page", F.greatest(F.lit(0), F.max("_m").over(w)).cast("int").alias("cut"))
+
+
+#: How far a cut moves to the start of a note, and the cut that ends the last page.
+NOTE_REACH, END_REACH = 25, 40
+
+
+def note_cuts(cuts: DataFrame, starts: DataFrame, within: int = NOTE_REACH) -> DataFrame:
+    """Cuts (``book_id, stream, page, cut``) moved to the nearest start of a note (``book_id, stream, start``) not farther
+    than ``within``, the earlier one on ties; cuts never fall."""
+    w = Window.partitionBy("book_id", "stream").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    t = nearest_join(cuts, starts, ["book_id", "stream"], "cut", "start", within).withColumn("cut", F.coalesce("nearest", "cut")).drop("nearest")
+    return t.withColumn("cut", F.max("cut").over(w))
+
+
+def extend_over_headers(pages: DataFrame, notes: DataFrame, max_steps: int = 3, least: int = 8) -> DataFrame:
+    """``book_id, stream, page, cut`` of pages (``page, cut, head``) whose cuts move back over short notes they begin with.
 
-    ``cuts``: one row per stream, ``book_id, stream, pages array<struct<page,cut,head>>, starts array<int>, raw``;
-    ``head`` is the page's normalised note text. At most ``max_steps`` notes per page; earlier empty pages
-    follow. A page's move depends on the ones before, so a book is one call.
+    ``head`` is the page's normalised note text, ``notes`` (``start, norm``) where notes begin and their normalised
+    text. A page that begins at a note and whose head begins with the notes before it, last note first, takes
+    them in, at most ``max_steps`` of at least ``least`` characters, but none before the page with text
+    ahead of it begins; pages that began after the new cut begin there too.
     """
-    from quire.functions.normalize import normalize_text
-
-    def run(batches):
-        for b in batches:
-            for i in b.index:
-                pages = sorted(b.pages[i], key=lambda p: p["page"])
-                starts = sorted(b.starts[i])
-                place = {s: n for n, s in enumerate(starts)}
-                at = [p["cut"] for p in pages]
-                heads = [p["head"] or "" for p in pages]
-                for k, head in enumerate(heads):
-                    n = place.get(at[k])
-                    if not head or n is None:
-                        continue
-                    floor = next((at[j] for j in reversed(range(k)) if heads[j]), 0)
-                    for n in range(n, max(0, n - max_steps), -1):
-                        lo, hi = starts[n - 1], starts[n]
-                        seg = normalize_text(b.raw[i][lo:hi])
-                        if lo < floor or len(seg) < 8 or not head.startswith(seg):
-                            break
-                        head, at[k] = head[len(seg) :], lo
-                        for j in reversed(range(k)):
-                            if at[j] <= lo:
-                                break
-                            at[j] = lo
-                yield b.iloc[[0] * len(pages)][["book_id", "stream"]].assign(
-                    book_id=b.book_id[i], stream=b.stream[i], page=[p["page"] for p in pages], cut=at
-                )
-
-    return cuts.mapInPandas(run, "book_id string, stream int, page int, cut int")
+    key = ["book_id", "stream"]
+    w = Window.partitionBy(*key).orderBy("start")
+    back = [(F.lag("start", n).over(w), F.lag("norm", n).over(w)) for n in range(1, max_steps + 1)]
+    n = notes.select(*key, "start", *(c.alias(f"_{x}{i}") for i, pair in enumerate(back) for x, c in zip("sn", pair)))
+    t = pages.join(n.withColumnRenamed("start", "cut"), [*key, "cut"], "left")
+    fits, eaten, steps = F.lit(True), F.lit(""), []
+    for i in range(max_steps):  # each step needs the ones before
+        eaten = F.concat(eaten, F.col(f"_n{i}"))
+        fits = fits & (F.length(f"_n{i}") >= least) & F.startswith("head", eaten)
+        steps.append(F.when(fits, F.col(f"_s{i}")))
+    t = t.select(*key, "page", "cut", (F.coalesce(F.length("head"), F.lit(0)) > 0).alias("full"), F.array_compact(F.array(*steps)).alias("steps"))
+
+    def floors(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("page", ignore_index=True)
+        floor, out = 0, []
+        for cut, full, options in zip(g.cut.tolist(), g.full, g.steps):
+            for s in options if full else ():
+                if s < floor:
+                    break
+                cut = int(s)
+            out.append(cut)
+            floor = cut if full else floor
+        return g.assign(cut=out)[["book_id", "stream", "page", "cut"]]
+
+    moved = t.groupBy(*key).applyInPandas(floors, "book_id string, stream int, page int, cut int")
+    later = Window.partitionBy(*key).orderBy(F.desc("page")).rowsBetween(Window.unboundedPreceding, 0)
+    return moved.withColumn("cut", F.min("cut").over(later))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import cuts, digits, urls
+from quire.functions import digits, urls
 from quire.functions.normalize import normalize_map_udf, normalize_udf
 from quire.functions.similarity import as_text
 from quire.operators import alignment, anchors, asof, blocks, crawl, fragments, report, toc
@@ -197,19 +197,12 @@ def span_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def raw_cuts(s: SparkSession, d: str) -> DataFrame:
-    m = I.matches(s, d).where("boundary IS NOT NULL").select(*PAGE_KEY, "boundary")
-    lists = m.groupBy("book_id", "stream").agg(F.collect_list(F.struct("page", "boundary")).alias("_b"))
-    t = I.streams(s, d).where("norm_text IS NOT NULL").select("book_id", "stream", "raw_text", "norm_map")
-    raw = lambda b: cuts.to_raw(F.col("norm_map"), b["boundary"], F.length("raw_text"))
-    around = lambda b: F.substring(F.col("raw_text"), F.greatest(raw(b) - 60, F.lit(0)) + 1, F.lit(120))
-    x = lists.join(t, ["book_id", "stream"]).select("book_id", "stream", F.explode(F.transform("_b", lambda b: F.struct(b["page"].alias("page"), raw(b).alias("cut"), around(b).alias("near")))).alias("_x"))
-    at = F.least(F.col("_x.cut"), F.lit(60))
-    return x.select("book_id", "stream", "_x.page", "_x.cut", (F.col("_x.cut") - at + cuts.snap("_x.near", at)).alias("snapped"))
+    m = I.matches(s, d).where("boundary IS NOT NULL").select(*PAGE_KEY, "boundary", "pdf_chars")
+    return fragments.raw_cuts(m, I.streams(s, d).where("norm_text IS NOT NULL"))
 
 
 def block_classify(s: SparkSession, d: str) -> DataFrame:
-    b = I.blocks(s, d).where("lines IS NOT NULL").drop("kind")
-    return blocks.classify(b, I.pages(s, d)).select("block_id", "found_kind")
+    return blocks.classify(I.blocks(s, d).drop("kind"), I.pages(s, d)).select("block_id", "found_kind")
 
 
 def header_signatures(s: SparkSession, d: str) -> DataFrame:
@@ -302,10 +295,16 @@ def html_blocks(s: SparkSession, d: str) -> DataFrame:
 
 
 def unique_ids(s: SparkSession, d: str) -> DataFrame:
-    t = I.site_pages(s, d).where("title IS NOT NULL").select("book_id", F.lit(1).alias("page"), F.col("page_id").alias("ord"), F.col("title").alias("id"))
+    t = I.site_pages(s, d).where("title IS NOT NULL").select("book_id", F.lit(1).alias("page"), F.col("page_id").alias("ord"), F.lit(1).alias("doc"), F.col("title").alias("id"))
     return fragments.unique_ids(t).select("book_id", "ord", "new_id")
 
 
+def note_cuts(s: SparkSession, d: str) -> DataFrame:
+    c = I.matches(s, d).where("stream = 1 AND raw_start IS NOT NULL").select(*PAGE_KEY, F.col("raw_start").alias("cut"))
+    starts = _paragraphs(s, d).where("stream = 1 AND text <> ''").select("book_id", "stream", "start")
+    return fragments.note_cuts(c, starts)
+
+
 def concat_invariant(s: SparkSession, d: str) -> DataFrame:
     b = I.blocks(s, d).where(~F.array_join("lines", "\n").eqNullSafe(F.col("text")))
     n = I.streams(s, d).where(F.length("norm_text") != F.size("norm_map"))
@@ -335,6 +334,6 @@ QUERIES = {
         problem_pages, last_text_end, report_json, text_hit_rate, best_order, page_of_offset, nearest_note_start, span_overlap, raw_cuts,
         block_classify, header_signatures, body_font_mode, removed_heads, page_kinds, page_regions, separator_check, consecutive_numbers,
         note_places, toc_sections, toc_tree, ncx_play_order, navigation, crawl_frontier, dead_letter, html_links, html_text, html_blocks,
-        unique_ids, concat_invariant, epub_roundtrip,
+        unique_ids, note_cuts, concat_invariant, epub_roundtrip,
     )
 }

@@ -30,8 +30,21 @@ def _folds() -> str:
 
 
 _WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_NWS = "[^" + _WS[1:]
 _DIGIT = f"[{ARABIC_DIGITS}]"
 
+_OPEN = r"[(\[{«“‘\"''\x{FD3E}\x{FD3F}]"
+# cuts: raw place, before openers, in words to the nearest start; c4 has them as they are before they may not fall
+_CUTS = (
+    "c0 AS (SELECT m.book_id, m.stream, page, pdf_chars, length(raw_text) AS n, raw_text, CASE WHEN boundary >= len(norm_map) THEN length(raw_text) ELSE norm_map[boundary + 1] END AS cut"
+    " FROM m JOIN s USING (book_id, stream) WHERE boundary IS NOT NULL AND norm_text IS NOT NULL),"
+    f" c1 AS (SELECT *, greatest(cut - 60, 0) AS lo, cut - length(regexp_extract(substr(raw_text, greatest(cut - 60, 0) + 1, least(cut, 60)), '((?:{_OPEN}{_WS}?)+)$', 1)) AS opn FROM c0),"
+    " c2 AS (SELECT *, substr(raw_text, lo + 1, opn - lo) AS l, substr(raw_text, opn + 1, lo + 120 - opn) AS r FROM c1),"
+    f" c3 AS (SELECT *, length(regexp_extract(l, '{_WS}({_NWS}+)$', 1)) AS dl, length(regexp_extract(r, '^({_NWS}*{_WS}+){_NWS}', 1)) AS dr,"
+    r" regexp_matches(l, '[\p{L}\p{N}]$') AND regexp_matches(r, '^[\p{L}\p{N}]') AS inside FROM c2),"
+    " c4 AS (SELECT *, least(n, CASE WHEN NOT coalesce(pdf_chars > 0, false) THEN cut WHEN inside AND dl BETWEEN 1 AND 14 AND (dl <= dr OR dr NOT BETWEEN 1 AND 14) THEN opn - dl WHEN inside AND dr BETWEEN 1 AND 14 THEN opn + dr ELSE opn END) AS moved FROM c3)"
+)
+
 BLOCKS = "b AS (SELECT DISTINCT block_id, book_id, page, block_ord, lines, text, x0, y0, x1, y1, font_size, fonts, kind FROM pdf_blocks)"
 PAGES = "p AS (SELECT DISTINCT * FROM pdf_pages)"
 STREAMS = "s AS (SELECT DISTINCT stream_id, book_id, CAST(stream AS INT) AS stream, raw_text, norm_text, norm_map FROM streams)"
@@ -115,7 +128,7 @@ HEADS = (
 )
 CLASSIFIED = (
     f"{HEADS}, {FOLD}, lk AS (SELECT block_id, array_to_string(lines, ' ') AS jl FROM b WHERE lines IS NOT NULL), nm AS ({_norm('lk', 'block_id', 'jl')}),"
-    f" c0 AS (SELECT b.*, height, separator_y, coalesce(nm.norm, '') AS norm, coalesce(struct_pack(f := fonts, st := {SIG}) = h.sig, false) AS hit FROM b JOIN p USING (book_id, page) LEFT JOIN (SELECT ts.* FROM ts JOIN rs USING (book_id, sig)) h USING (book_id, page) LEFT JOIN nm USING (block_id) WHERE lines IS NOT NULL),"
+    f" c0 AS (SELECT b.*, height, separator_y, coalesce(nm.norm, '') AS norm, coalesce(struct_pack(f := fonts, st := {SIG}) = h.sig, false) AS hit FROM b JOIN p USING (book_id, page) LEFT JOIN (SELECT ts.* FROM ts JOIN rs USING (book_id, sig)) h USING (book_id, page) LEFT JOIN nm USING (block_id)),"
     " c1 AS (SELECT *, y1 <= height * 0.12 AS top, y0 >= height * (1.0 - 0.06) AS bottom FROM c0),"
     " c2 AS (SELECT *, CASE WHEN top OR bottom OR hit THEN CASE WHEN regexp_replace(norm, '[0-9]', '', 'g') = '' THEN 'page_number' WHEN top OR hit THEN 'header' ELSE 'footer' END WHEN separator_y IS NOT NULL AND (y0 + y1) / 2 >= separator_y THEN 'footnote' ELSE 'body' END AS k1 FROM c1),"
     " fs AS (SELECT book_id, arg_max(size, struct_pack(a := n, b := -size)) AS bs FROM (SELECT book_id, round_even(font_size * 2, 0) / 2 AS size, sum(list_sum([length(x) FOR x IN lines])) AS n FROM c2 WHERE k1 = 'body' GROUP BY ALL) GROUP BY book_id)"
@@ -180,7 +193,9 @@ SQL: dict[str, str] = {
     "dead_letter": f"WITH {TOC} SELECT DISTINCT book_id, url, CASE WHEN body IS NULL THEN 'no body' ELSE 'empty body' END AS error FROM (SELECT DISTINCT book_id, url, title, body FROM page_contents WHERE body IS NULL OR trim(body) = '') UNION ALL SELECT DISTINCT book_id, NULL, 'no entries' FROM book_meta WHERE book_id NOT IN (SELECT book_id FROM t)",
     "html_links": f"WITH {SITE}, l AS (SELECT page_id, regexp_extract_all(body, '<a [^>]*href=\"([^\"]*)\"', 1) AS l FROM w WHERE body IS NOT NULL) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS href FROM l",
     "html_text": f"WITH {SITE} SELECT page_id, regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS text FROM w WHERE body IS NOT NULL",
-    "unique_ids": f"WITH {SITE}, k AS (SELECT book_id, page_id AS ord, title, row_number() OVER (PARTITION BY book_id, title ORDER BY page_id) AS k FROM w WHERE title IS NOT NULL) SELECT book_id, ord, CASE WHEN k = 1 THEN title ELSE title || '-d' || k END AS new_id FROM k",
+    "unique_ids": f"WITH {SITE}, k AS (SELECT book_id, page_id AS ord, title, row_number() OVER (PARTITION BY book_id, title ORDER BY page_id) AS k FROM w WHERE title IS NOT NULL) SELECT book_id, ord, CASE WHEN k = 1 THEN title WHEN k = 2 THEN title || '-d1' ELSE title || '-d1-' || (k - 1) END AS new_id FROM k",
+    "raw_cuts": f"WITH {STREAMS}, {MATCHES}, {_CUTS} SELECT book_id, stream, page, CAST(greatest(0, max(moved) OVER (PARTITION BY book_id, stream ORDER BY page)) AS INT) AS cut FROM c4",
+    "note_cuts": f"WITH {PARAGRAPHS}, {MATCHES}, c AS (SELECT book_id, stream, page, raw_start FROM m WHERE stream = 1 AND raw_start IS NOT NULL), n AS (SELECT c.book_id, c.stream, c.page, coalesce(arg_min(st, struct_pack(d := abs(st - raw_start), s := st)), raw_start) AS cut FROM c LEFT JOIN (SELECT * FROM pr WHERE text <> '') q ON q.book_id = c.book_id AND q.stream = c.stream AND abs(st - raw_start) <= 25 GROUP BY c.book_id, c.stream, c.page, c.raw_start) SELECT book_id, stream, page, max(cut) OVER (PARTITION BY book_id, stream ORDER BY page) AS cut FROM n",
     "concat_invariant": f"WITH {BLOCKS}, {STREAMS} SELECT 'block' AS kind, block_id AS id FROM b WHERE array_to_string(lines, chr(10)) IS DISTINCT FROM text UNION ALL SELECT 'stream', stream_id FROM s WHERE length(norm_text) <> len(norm_map)",
 }
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quire.sources.html import Node, parse, select
 
 # Names of notes in EPUB's vocabulary, and classes that begin like notes.
-NOTE_TYPES = {"footnote", "footnotes", "endnote", "endnotes", "rearnote", "rearnotes", "note"}
+NOTE_TYPES = {"footnote", "footnotes", "endnote", "endnotes", "rearnote", "rearnotes"}
 NOTE_CLASSES = ("footnote", "endnote", "fn")
 DOCUMENTS = ("application/xhtml+xml", "text/html")
 DC_KEPT = ("title", "creator", "publisher", "language", "description", "identifier", "date", "rights", "subject", "contributor", "source")
@@ -46,7 +46,7 @@ def _xml(data: bytes) -> Node:
             return n
 
         return Node("#root", children=[turn(ET.fromstring(data))])
-    except ET.ParseError:
+    except (ET.ParseError, RecursionError):  # the tree of the latter has bounded depth
         return parse(data.decode("utf-8", "replace"))
 
 

@@ -88,7 +88,16 @@ def test_names_and_paths(spark):
 
 
 def test_cuts(spark):
-    assert cuts.before_openers("abc («de", 6) == 4 and cuts.word_start("one two three", 5) == 4 and cuts.word_start("one two", 3) == 3
+    where = {("abc («de", 6): 4, ("a ( « b", 6): 2, ("a (  b", 5): 5, ("([{x", 3): 0, ("one two three", 5): 4, ("one two", 3): 3, ("one two", 0): 0, ("abc", 2): 2, ("abcdefghijklmnopqrstuvwxyz abc", 8): 8, ("a bcd e", 4): 2, ("كتاب جديد", 7): 5}
+    at = spark.createDataFrame([k for k in where], "t string, i int")
+    assert {(r.t, r.i): r.c for r in at.select("t", "i", cuts.snap(F.col("t"), F.col("i")).alias("c")).collect()} == where
+    rng = random.Random(1)
+    rows = ["".join(rng.choices("ab ", weights=(3, 3, 1), k=40)) for _ in range(60)]
+    many = spark.createDataFrame([(t, i) for t in rows for i in range(41)], "t string, i int")
+    for r in many.select("t", "i", cuts.word_start(F.col("t"), F.col("i")).alias("c")).collect():
+        inside = 0 < r.i < 40 and r.t[r.i - 1] != " " != r.t[r.i]
+        starts = [(abs(p - r.i), p) for p in range(1, 40) if r.t[p - 1] == " " != r.t[p] and abs(p - r.i) <= 14]
+        assert r.c == (min(starts)[1] if inside and starts else r.i)
     df = spark.createDataFrame([("abcdef", 10)], "t string, s int")
     r = df.select(*(cuts.slice_text(F.col("t"), F.col("s"), F.lit(lo), F.lit(hi)).alias(f"x{n}") for n, (lo, hi) in enumerate([(0, 12), (12, 14), (15, 99), (20, 30)]))).first()
     assert tuple(r) == ("ab", "cd", "f", "")

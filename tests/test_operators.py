@@ -85,10 +85,21 @@ def test_alignment_finds_pages(spark):
     assert m["c", 1].status == "empty"
 
 
-def test_refine_moves_to_the_common_piece():
+def test_common_piece_against_every_piece():
+    rng = random.Random(4)
+    for _ in range(200):
+        text, head = ("".join(rng.choices("abc𝔘", k=rng.randrange(0, 14))) for _ in range(2))
+        found = [(-n, i, j) for n in range(1, 14) for i in range(len(text) - n + 1) for j in range(len(head) - n + 1) if text[i : i + n] == head[j : j + n]]
+        n, i, j = min(found, default=(0, 0, 0))
+        assert alignment.common_piece(text, head)[2] == -n and (not n or alignment.common_piece(text, head) == (i, j, -n))
+
+
+def test_refined_starts(spark):
     text = "zzzz" + "the quick brown fox jumps over it" + "yyyy"
-    assert alignment.refine("XX" + "the quick brown", text, 6, 0, 60) == 4
-    assert alignment.refine("abc", text, 6, 0, 60) is None
+    rows = [(1, "XX" + "the quick brown", text, 6, 0), (2, "abc", text, 6, 0), (3, "the quack brown fox", "zzzzzz" + "the quick brown fox", 8, 0), (4, "jumps over it", text, 30, 20), (5, "", text, 3, 0)]
+    df = spark.createDataFrame([(i, h, x[lo:], s, lo) for i, h, x, s, lo in rows], "page int, head string, around string, s int, lo int")
+    got = {r.page: r.refined for r in alignment.refined_starts(df, 60).collect()}
+    assert got == {1: 4, 2: None, 3: 6, 4: 24, 5: None}
 
 
 def test_asof_and_nearest(spark):
@@ -173,17 +184,39 @@ def test_fragments_lose_nothing(spark):
     assert all(r["count"] == 1 for r in kept)
 
 
-def test_ids_links_and_note_headers(spark):
-    ids = spark.createDataFrame([("b", 1, 1, "x"), ("b", 1, 2, "x"), ("b", 2, 3, "x")], "book_id string, page int, ord int, id string")
-    assert [r.new_id for r in fragments.unique_ids(ids).orderBy("ord").collect()] == ["x", "x-d2", "x"]
+def test_unique_ids(spark):
+    rows = [("b", 1, 1, 0, "x"), ("b", 1, 2, 2, "x"), ("b", 1, 3, 2, "x"), ("b", 1, 4, 2, "x-d2"), ("b", 1, 5, 2, "x"), ("b", 1, 6, 1, "y"), ("b", 2, 7, 1, "x"), ("b", 2, 8, 1, None), ("b", 2, 9, 1, None)]
+    ids = spark.createDataFrame(rows, "book_id string, page int, ord int, doc int, id string")
+    got = {r.ord: r.new_id for r in fragments.unique_ids(ids).collect()}
+    assert got == {1: "x", 2: "x-d2", 3: "x-d2-2", 4: "x-d2-d2", 5: "x-d2-3", 6: "y", 7: "x", 8: None, 9: None}
+    assert fragments.unique_ids(ids.limit(0)).count() == 0
+
+
+def test_links_to_pages(spark):
     links = spark.createDataFrame([("b", "a.xhtml", "i"), ("b", "a.xhtml", None), ("b", "p.png", None), ("b", "q", None)], "book_id string, path string, fragment string")
     docs = spark.createDataFrame([("b", "a.xhtml", 3)], "book_id string, path string, first_page int")
     res = spark.createDataFrame([("b", "p.png")], "book_id string, path string")
     known = spark.createDataFrame([("b", "a.xhtml", "i", 4)], "book_id string, path string, id string, page int")
     assert sorted((r.kind, r.href) for r in fragments.resolve_links(links, docs, res, known).collect() if r.href) == [("document", "page-0003.xhtml"), ("id", "page-0004.xhtml#i"), ("resource", "p.png")]
-    raw = "short header\nlong note text"
-    c = spark.createDataFrame([("b", 1, [(1, 5, ""), (2, 13, "shortheaderlongnotetext")], [0, 13], raw)], "book_id string, stream int, pages array<struct<page:int,cut:int,head:string>>, starts array<int>, raw string")
-    assert [(r.page, r.cut) for r in fragments.extend_over_headers(c).orderBy("page").collect()] == [(1, 0), (2, 0)]
+
+
+def test_note_cuts_and_headers(spark):
+    notes = [("b", 1, 0, "shortheader"), ("b", 1, 13, "anotherhead"), ("b", 1, 30, "longnotetext"), ("b", 1, 60, "tiny"), ("b", 1, 70, "last")]
+    n = spark.createDataFrame(notes, "book_id string, stream int, start int, norm string")
+    pages = [("b", 1, 1, 5, ""), ("b", 1, 2, 30, "anotherheadshortheaderlongnotetext"), ("b", 1, 3, 70, "tinylast"), ("b", 1, 4, 70, None), ("c", 1, 1, 3, "x")]
+    c = spark.createDataFrame(pages, "book_id string, stream int, page int, cut int, head string")
+    assert [(r.book_id, r.page, r.cut) for r in fragments.extend_over_headers(c, n).orderBy("book_id", "page").collect()] == [("b", 1, 0), ("b", 2, 0), ("b", 3, 70), ("b", 4, 70), ("c", 1, 3)]
+    first = c.withColumn("head", F.when(F.col("page") == 1, "full").otherwise(F.col("head")))  # nothing moves before a page with text
+    assert [r.cut for r in fragments.extend_over_headers(first, n).where("book_id = 'b'").orderBy("page").collect()] == [5, 13, 70, 70]
+    cuts = spark.createDataFrame([("b", 1, 1, 10), ("b", 1, 2, 20), ("b", 1, 3, 200), ("b", 1, 4, 90)], "book_id string, stream int, page int, cut int")
+    starts = spark.createDataFrame([("b", 1, 0), ("b", 1, 30), ("b", 1, 75)], "book_id string, stream int, start int")
+    assert [r.cut for r in fragments.note_cuts(cuts, starts).orderBy("page").collect()] == [0, 30, 200, 200]
+
+
+def test_raw_cuts(spark):
+    texts = spark.createDataFrame([("b", 0, "one («two three» four", list(range(21)))], "book_id string, stream int, raw_text string, norm_map array<int>")
+    pages = spark.createDataFrame([("b", 0, 1, 0, 5), ("b", 0, 2, 6, 5), ("b", 0, 3, 8, 0), ("b", 0, 4, 7, 9), ("b", 0, 5, 13, 4), ("b", 0, 6, 99, 3)], "book_id string, stream int, page int, boundary int, pdf_chars int")
+    assert [r.cut for r in fragments.raw_cuts(pages, texts).orderBy("page").collect()] == [0, 4, 8, 8, 10, 21]
 
 
 def test_reports(spark):
