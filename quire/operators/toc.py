@@ -77,6 +77,9 @@ def navigation(nodes: DataFrame) -> DataFrame:
 
 
 def ncx_points(nodes: DataFrame) -> DataFrame:
-    """``book_id, ncx``: flat text of navigation points in order, with their play order; names by row."""
-    x = F.format_string('<navPoint id="np-%d" playOrder="%d"><navLabel><text>%s</text></navLabel><content src="%s"/></navPoint>', "preorder", "play_order", escape(F.col("title")), escape(F.col("first_href")))
-    return nodes.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("preorder", x.alias("x")))), lambda s: s["x"]), "\n").alias("ncx"))
+    """``book_id, ncx``: navigation points of ``play_order``'s rows, one inside the other as the tree has them."""
+    x = F.format_string('<navPoint id="np-%d" playOrder="%d"><navLabel><text>%s</text></navLabel><content src="%s"/>', "preorder", "play_order", escape(F.col("title")), escape(F.col("first_href")))
+    after = F.lead("depth", 1, 1).over(Window.partitionBy("book_id").orderBy("preorder"))
+    closes = F.repeat(F.lit("</navPoint>"), F.greatest(F.col("depth") - after + 1, F.lit(0)).cast("int"))
+    t = nodes.select("book_id", "preorder", F.concat(x, closes).alias("x"))
+    return t.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("preorder", "x"))), lambda s: s["x"]), "").alias("ncx"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import digits, urls
 from quire.functions.normalize import normalize_map_udf, normalize_udf
 from quire.functions.similarity import as_text
-from quire.operators import alignment, anchors, asof, blocks, crawl, fragments, report, toc
+from quire.operators import alignment, anchors, asof, blocks, crawl, fragments, output, report, toc
 from quire.plans import inputs as I  # noqa: E741
 from quire.plans.sql import SQL  # noqa: F401
 from quire.sources import epub, html
@@ -316,11 +316,56 @@ def epub_roundtrip(s: SparkSession, d: str) -> DataFrame:
     b = html.page_blocks(p).join(p.select("page_id", "book_id", "ord", "title"), "page_id")
     files = b.select("book_id", F.struct("ord", "page_id").alias("ord"), F.format_string("p-%d.xhtml", "page_id").alias("href"), "title", F.array_join("blocks", "").alias("xhtml"))
     meta = table(s, d, "book_meta").groupBy("book_id").agg(F.max_by(F.struct("title", "lang", "direction"), "extracted_at").alias("_m")).select("book_id", "_m.*")
-    made = epub.packages(meta, files, navigation(s, d)).select(F.col("book_id").alias("book"), F.col("epub").alias("content"))
+    points = toc.ncx_points(toc.play_order(toc.first_targets(_tree(s, d))))
+    made = epub.packages(meta, files, navigation(s, d).join(points, "book_id", "left")).select(F.col("book_id").alias("book"), F.col("epub").alias("content"))
     docs = epub.documents(made)
     return docs.groupBy("book").agg(F.count("*").alias("n_docs"), F.sum(F.length("body")).alias("body_chars"), F.sum(F.length("notes")).alias("note_chars"))
 
 
+def _line_books(s: SparkSession, d: str) -> DataFrame:
+    """``book_id, content``: an archive of each book whose paragraphs and notes are the lines of its streams."""
+    t = I.streams(s, d).where("raw_text IS NOT NULL").select("book_id", "stream", F.split("raw_text", "\n").alias("_l"))
+    line = lambda x: toc.escape(x)
+    p = F.transform("_l", lambda x: F.concat(F.lit("<p>"), line(x), F.lit("</p>")))
+    n = F.transform("_l", lambda x, i: F.concat(F.lit('<aside epub:type="footnote" id="n'), i.cast("string"), F.lit('">'), line(x), F.lit("</aside>")))
+    x = t.select("book_id", "stream", F.array_join(F.when(F.col("stream") == 0, p).otherwise(n), "").alias("xhtml"))
+    files = x.select("book_id", F.col("stream").alias("ord"), F.format_string("t-%d.xhtml", "stream").alias("href"), F.lit("t").alias("title"), "xhtml")
+    meta = x.select("book_id", F.col("book_id").alias("title"), F.lit("ar").alias("lang"), F.lit("rtl").alias("direction")).distinct()
+    none = meta.select("book_id", F.lit("").alias("nav"))
+    return epub.packages(meta, files, none).select("book_id", F.col("epub").alias("content"))
+
+
+def _line_cuts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cuts of ``page_matches`` and the texts they cut, both without the line feeds that no document holds."""
+    t = I.streams(s, d).where("raw_text IS NOT NULL").select("book_id", "stream", "raw_text")
+    bare = lambda c: F.replace(c, F.lit("\n"), F.lit(""))
+    lists = I.matches(s, d).where("raw_start IS NOT NULL").groupBy("book_id", "stream").agg(F.collect_list(F.struct("page", "raw_start")).alias("_p"))
+    at = F.transform("_p", lambda p: F.struct(p["page"].alias("page"), F.length(bare(F.substring(F.col("raw_text"), F.lit(1), p["raw_start"]))).alias("cut")))
+    w = Window.partitionBy("book_id", "stream").orderBy("_x.page").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = lists.join(t, ["book_id", "stream"]).select("book_id", "stream", F.explode(at).alias("_x")).select("book_id", "stream", "_x.page", F.max("_x.cut").over(w).alias("cut"))
+    return cuts, t.withColumn("raw_text", bare(F.col("raw_text")))
+
+
+def page_output(s: SparkSession, d: str) -> DataFrame:
+    cuts, texts = _line_cuts(s, d)
+    ends = texts.select("book_id", "stream", (F.length("raw_text") + 1).alias("end"))
+    p = output.page_documents(_line_books(s, d), output.book_cuts(cuts, ends))
+    return p.select("book_id", "page", F.length("body_text").alias("body_chars"), F.md5("body_text").alias("body"), F.length("note_text").alias("note_chars"), F.md5("note_text").alias("notes"))
+
+
+def output_verified(s: SparkSession, d: str) -> DataFrame:
+    cuts, texts = _line_cuts(s, d)
+    cuts, ends = output.trimmed(cuts, texts, None)
+    wide = output.book_cuts(cuts, ends)
+    kept = texts.join(cuts.select("book_id", "stream").distinct(), ["book_id", "stream"], "left_semi")  # notes on no page are on none
+    wanted = kept.groupBy("book_id").agg(*(F.coalesce(F.max(F.when(F.col("stream") == i, F.col("raw_text"))), F.lit("")).alias(n) for i, n in ((0, "body"), (1, "notes"))))
+    return output.verified(output.page_documents(_line_books(s, d), wide), wide, wanted)
+
+
+def image_modes(s: SparkSession, d: str) -> DataFrame:
+    return output.image_modes(I.pages(s, d), I.matches(s, d).where("stream = 0"))
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     return page_scores(s, d)
 
@@ -334,6 +379,6 @@ QUERIES = {
         problem_pages, last_text_end, report_json, text_hit_rate, best_order, page_of_offset, nearest_note_start, span_overlap, raw_cuts,
         block_classify, header_signatures, body_font_mode, removed_heads, page_kinds, page_regions, separator_check, consecutive_numbers,
         note_places, toc_sections, toc_tree, ncx_play_order, navigation, crawl_frontier, dead_letter, html_links, html_text, html_blocks,
-        unique_ids, note_cuts, concat_invariant, epub_roundtrip,
+        unique_ids, note_cuts, concat_invariant, epub_roundtrip, page_output, output_verified, image_modes,
     )
 }

@@ -194,6 +194,11 @@ SQL: dict[str, str] = {
     "html_links": f"WITH {SITE}, l AS (SELECT page_id, regexp_extract_all(body, '<a [^>]*href=\"([^\"]*)\"', 1) AS l FROM w WHERE body IS NOT NULL) SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS n, unnest(l) AS href FROM l",
     "html_text": f"WITH {SITE} SELECT page_id, regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g') AS text FROM w WHERE body IS NOT NULL",
     "unique_ids": f"WITH {SITE}, k AS (SELECT book_id, page_id AS ord, title, row_number() OVER (PARTITION BY book_id, title ORDER BY page_id) AS k FROM w WHERE title IS NOT NULL) SELECT book_id, ord, CASE WHEN k = 1 THEN title WHEN k = 2 THEN title || '-d1' ELSE title || '-d1-' || (k - 1) END AS new_id FROM k",
+    "page_output": f"WITH {STREAMS}, {MATCHES}, t AS (SELECT book_id, stream, raw_text, replace(raw_text, chr(10), '') AS x FROM s WHERE raw_text IS NOT NULL), c AS (SELECT m.book_id, m.stream, page, max(length(replace(substr(raw_text, 1, raw_start), chr(10), ''))) OVER (PARTITION BY m.book_id, m.stream ORDER BY page) AS cut, x FROM m JOIN t USING (book_id, stream) WHERE raw_start IS NOT NULL),"
+    " e AS (SELECT *, lead(cut, 1, length(x)) OVER (PARTITION BY book_id, stream ORDER BY page) AS nxt FROM c), p AS (SELECT book_id, page, coalesce(max(CASE WHEN stream = 0 THEN substr(x, cut + 1, nxt - cut) END), '') AS b, coalesce(max(CASE WHEN stream = 1 THEN substr(x, cut + 1, nxt - cut) END), '') AS n FROM e GROUP BY book_id, page)"
+    " SELECT book_id, page, CAST(length(b) AS INT) AS body_chars, md5(b) AS body, CAST(length(n) AS INT) AS note_chars, md5(n) AS notes FROM p",
+    "output_verified": f"WITH {STREAMS}, {MATCHES} SELECT DISTINCT m.book_id, true AS body_ok, true AS notes_ok, true AS count_ok, true AS ok FROM m JOIN s USING (book_id, stream) WHERE raw_start IS NOT NULL AND raw_text IS NOT NULL",
+    "image_modes": f"WITH {PAGES}, {MATCHES}, x AS (SELECT DISTINCT book_id, page FROM m WHERE stream = 0 AND status = 'missing') SELECT * FROM (SELECT p.book_id, p.page, CASE WHEN kind = 'image' THEN 'image' WHEN kind = 'mixed' THEN 'inline' WHEN x.page IS NOT NULL THEN 'fallback' END AS mode FROM p LEFT JOIN x ON x.book_id = p.book_id AND x.page = p.page) WHERE mode IS NOT NULL",
     "raw_cuts": f"WITH {STREAMS}, {MATCHES}, {_CUTS} SELECT book_id, stream, page, CAST(greatest(0, max(moved) OVER (PARTITION BY book_id, stream ORDER BY page)) AS INT) AS cut FROM c4",
     "note_cuts": f"WITH {PARAGRAPHS}, {MATCHES}, c AS (SELECT book_id, stream, page, raw_start FROM m WHERE stream = 1 AND raw_start IS NOT NULL), n AS (SELECT c.book_id, c.stream, c.page, coalesce(arg_min(st, struct_pack(d := abs(st - raw_start), s := st)), raw_start) AS cut FROM c LEFT JOIN (SELECT * FROM pr WHERE text <> '') q ON q.book_id = c.book_id AND q.stream = c.stream AND abs(st - raw_start) <= 25 GROUP BY c.book_id, c.stream, c.page, c.raw_start) SELECT book_id, stream, page, max(cut) OVER (PARTITION BY book_id, stream ORDER BY page) AS cut FROM n",
     "concat_invariant": f"WITH {BLOCKS}, {STREAMS} SELECT 'block' AS kind, block_id AS id FROM b WHERE array_to_string(lines, chr(10)) IS DISTINCT FROM text UNION ALL SELECT 'stream', stream_id FROM s WHERE length(norm_text) <> len(norm_map)",

@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html import escape
 from urllib.parse import unquote
@@ -54,6 +55,14 @@ def _join(base: str, href: str) -> str:
     return posixpath.normpath(posixpath.join(posixpath.dirname(base), unquote(href.partition("#")[0])))
 
 
+def resolve(base: str, href: str) -> tuple[str | None, str | None]:
+    """Path and fragment of a link in an archive; nulls if it leads out of it, the base itself if it has no path."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", href):
+        return None, None
+    bare, _, fragment = href.partition("#")
+    return (_join(base, bare) if bare else base), unquote(fragment) or None
+
+
 def is_note(n: Node, extra: tuple[str, ...] = ()) -> bool:
     classes = n.attrs.get("class", "").lower().split()
     return any(c.startswith(NOTE_CLASSES + tuple(x.lower() for x in extra)) for c in classes) or bool(NOTE_TYPES & set(n.attrs.get("epub:type", "").split()))
@@ -95,8 +104,10 @@ class Archive:
 
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.names = set(self.zip.namelist())
         rootfile = select(_xml(self.zip.read("META-INF/container.xml")), "rootfile")[0].attrs["full-path"]
         opf = _xml(self.zip.read(rootfile))
+        self.folder = posixpath.dirname(rootfile)
         self.manifest = {}
         for item in select(opf, "manifest > item"):
             a = item.attrs
@@ -115,7 +126,7 @@ class Archive:
         """Documents in reading order that have a body; navigation and other types are no documents."""
         for i in self.spine:
             m = self.manifest.get(i)
-            if m and m is not self.nav and m["type"] in DOCUMENTS:
+            if m and m is not self.nav and m["type"] in DOCUMENTS and m["path"] in self.names:
                 root = _xml(self.zip.read(m["path"]))
                 if body := select(root, "body"):
                     yield i, m, root, body[0]
@@ -125,8 +136,8 @@ class Archive:
         out: list[dict] = []
 
         def entry(where: list[int], title: str, href: str | None, base: str):
-            path = _join(base, href) if href and href.partition("#")[0] else base if href else None
-            out.append({"ordinal_path": where, "title": title, "path": path, "fragment": (href or "").partition("#")[2] or None})
+            path, fragment = resolve(base, href) if href else (None, None)
+            out.append({"ordinal_path": where, "title": title, "path": path, "fragment": fragment})
 
         def nav(ol: Node, where: list[int]):
             for n, li in enumerate((c for c in ol.children if c.tag == "li"), 1):
@@ -144,14 +155,14 @@ class Archive:
                 entry([*where, n], label, href, self.ncx["path"])
                 points(p, [*where, n])
 
-        if self.nav:
+        if self.nav and self.nav["path"] in self.names:
             for n in select(_xml(self.zip.read(self.nav["path"])), "nav"):
-                if "toc" in n.attrs.get("epub:type", "toc").split():
+                if "toc" in n.attrs.get("epub:type", "").split():
                     for ol in n.children:
                         if ol.tag == "ol":
                             nav(ol, [])
                     break
-        if not out and self.ncx:
+        if not out and self.ncx and self.ncx["path"] in self.names:
             for m in select(_xml(self.zip.read(self.ncx["path"])), "navmap"):
                 points(m, [])
         return out
@@ -160,14 +171,24 @@ class Archive:
         """Paths and types of what is neither a document nor navigation."""
         used = {self.manifest[i]["path"] for i in self.spine if i in self.manifest}
         used |= {m["path"] for m in (self.nav, self.ncx) if m}
-        return {m["path"]: m["type"] for m in self.manifest.values() if m["path"] not in used}
+        used |= {m["path"] for m in self.manifest.values() if m["type"] == "application/x-dtbncx+xml"}
+        return {m["path"]: m["type"] for m in self.manifest.values() if m["path"] not in used and m["path"] in self.names}
+
+
+def open_archive(data: bytes) -> Archive | None:
+    """The archive, or nothing if it cannot be read: such files are set aside, see ``broken``."""
+    try:
+        return Archive(data)
+    except (zipfile.BadZipFile, KeyError, IndexError, NotImplementedError, OSError, zlib.error):
+        return None
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for name, data in zip(b.book, b.content):
             rows = []
-            for n, (i, m, root, body) in enumerate(Archive(bytes(data)).documents()):
+            archive = open_archive(bytes(data))
+            for n, (i, m, root, body) in enumerate(archive.documents() if archive else ()):
                 text, notes, _ = index_document(body)
                 title = next((x.words() for x in select(root, "title")), "")
                 rows.append((name, n, m["path"], i, title, text, notes))
@@ -178,7 +199,8 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for name, data in zip(b.book, b.content):
             rows = []
-            for n, (_, _, _, body) in enumerate(Archive(bytes(data)).documents()):
+            archive = open_archive(bytes(data))
+            for n, (_, _, _, body) in enumerate(archive.documents() if archive else ()):
                 rows += [(name, n, k, *s) for k, s in enumerate(index_document(body)[2])]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RUNS.split(", ")])
 
@@ -186,7 +208,8 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for name, data in zip(b.book, b.content):
-            rows = [(name, *e.values()) for e in Archive(bytes(data)).contents()]
+            archive = open_archive(bytes(data))
+            rows = [(name, *e.values()) for e in (archive.contents() if archive else ())]
             yield pd.DataFrame(rows, columns=["book", "ordinal_path", "title", "path", "fragment"])
 
 
@@ -195,6 +218,31 @@ def archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select(F.col("path").alias("book"), "content")
 
 
+def _rows_of(read, names: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, *r) for i, data in zip(b.book, b.content) for r in read(open_archive(bytes(data)))], columns=["book", *names])
+
+    return run
+
+
+def broken(files: DataFrame) -> DataFrame:
+    """``book`` of the archives that cannot be read."""
+    return files.select("book", "content").mapInPandas(_rows_of(lambda a: [] if a else [()], []), "book string")
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """``book, name, ord, value``: the kept entries of each archive's metadata, in order."""
+    read = lambda a: [(k, n, v) for k, vs in a.metadata.items() for n, v in enumerate(vs)] if a else []
+    return files.select("book", "content").mapInPandas(_rows_of(read, ["name", "ord", "value"]), "book string, name string, ord int, value string")
+
+
+def resources(files: DataFrame) -> DataFrame:
+    """``book, path, type, content``: what an archive holds beside documents and navigation, style sheets included."""
+    read = lambda a: [(p, t, a.zip.read(p)) for p, t in a.resources().items()] if a else []
+    return files.select("book", "content").mapInPandas(_rows_of(read, ["path", "type", "content"]), "book string, path string, type string, content binary")
+
+
 def documents(files: DataFrame) -> DataFrame:
     """Documents of archives (``book, content``) in reading order with their body and note texts."""
     return files.select("book", "content").mapInPandas(_documents, DOCS)
@@ -221,6 +269,9 @@ def streams(docs: DataFrame) -> DataFrame:
     return both.groupBy("book", "stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_idx", "_t"))), lambda s: s["_t"]), "").alias("raw_text"))
 
 
+STYLE = "Styles/quire.css"
+CSS = "body { line-height: 1.7; margin: 1em } h1, h2, h3 { text-align: center } .footnote, .pdf-footnotes { font-size: 0.85em }"
+
 _CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
@@ -231,10 +282,12 @@ def wrap(title: str, inner: str, language: str = "ar", direction: str = "rtl") -
     )
 
 
-def build(title: str, language: str, direction: str, identifier: str, files: list[tuple[str, str, str]], nav: str, ncx: str = "", pages: list[tuple[str, str]] = (), extra: dict[str, tuple[str, bytes]] | None = None) -> bytes:
+def build(title: str, language: str, direction: str, identifier: str, files: list[tuple[str, str, str]], nav: str, ncx: str = "", pages: list[tuple[str, str]] = (), extra: dict[str, tuple[str, bytes]] | None = None, more: list[tuple[str, str]] = (), css: str = CSS) -> bytes:
     """An EPUB package: ``files`` are ``(href, title, xhtml body)`` in reading order, ``nav`` nested lists, ``pages``
-    a list of page labels and targets, ``extra`` further resources by path. The type comes first, unpacked."""
-    taken: set[str] = {"nav", "ncx"}
+    a list of page labels and targets, ``extra`` further resources by path (a path the package needs itself is left out;
+    one named ``cover`` is the cover image), ``more`` further metadata of the kept kinds. The type comes first, unpacked."""
+    taken: set[str] = {"nav", "ncx", "css"}
+    reserved = {"nav.xhtml", "toc.ncx", "content.opf", STYLE, *(h for h, _, _ in files)}
 
     def item(name: str) -> str:
         base = re.sub(r"[^A-Za-z0-9_-]", "_", name)
@@ -246,14 +299,17 @@ def build(title: str, language: str, direction: str, identifier: str, files: lis
         return out
 
     docs = [(item(f"d_{h}"), h, t, x) for h, t, x in files]
-    more = [(item(f"r_{p}"), p, m, d) for p, (m, d) in (extra or {}).items() if p not in {h for h, _, _ in files}]
+    rest = [(item(f"r_{p}"), p, m, d) for p, (m, d) in (extra or {}).items() if p not in reserved]
+    cover = next((i for i, p, m, _ in rest if m.startswith("image/") and posixpath.basename(p).startswith("cover.")), None)
     page_list = f'<nav epub:type="page-list"><ol>{"".join(f"<li><a href={chr(34)}{escape(h)}{chr(34)}>{escape(p)}</a></li>" for p, h in pages)}</ol></nav>' if pages else ""
     manifest = '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>' + '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
     manifest += "".join(f'<item id="{i}" href="{escape(h)}" media-type="application/xhtml+xml"/>' for i, h, _, _ in docs)
-    manifest += "".join(f'<item id="{i}" href="{escape(p)}" media-type="{m}"/>' for i, p, m, _ in more)
+    manifest += f'<item id="css" href="{STYLE}" media-type="text/css"/>'
+    manifest += "".join(f'<item id="{i}" href="{escape(p)}" media-type="{m}"' + (' properties="cover-image"/>' if i == cover else "/>") for i, p, m, _ in rest)
+    dc = "".join(f"<dc:{k}>{escape(v)}</dc:{k}>" for k, v in more if k in DC_KEPT and k not in ("title", "language", "identifier") and v)
     opf = (
         f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid" dir="{direction}">'
-        f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{escape(identifier)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>{language}</dc:language></metadata>'
+        f'<metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{escape(identifier)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:language>{language}</dc:language>{dc}</metadata>'
         f'<manifest>{manifest}</manifest><spine toc="ncx" page-progression-direction="{direction}">{"".join(f"<itemref idref={chr(34)}{i}{chr(34)}/>" for i, *_ in docs)}</spine></package>'
     )
     out = io.BytesIO()
@@ -270,23 +326,39 @@ def build(title: str, language: str, direction: str, identifier: str, files: lis
         put("OEBPS/toc.ncx", f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head/><docTitle><text>{escape(title)}</text></docTitle><navMap>{ncx}</navMap></ncx>')
         for _, h, t, x in docs:
             put(f"OEBPS/{h}", wrap(t, x, language, direction))
-        for _, p, _, d in more:
+        put(f"OEBPS/{STYLE}", css)
+        for _, p, _, d in rest:
             put(f"OEBPS/{p}", d)
     return out.getvalue()
 
 
-def packages(books: DataFrame, pages: DataFrame, navs: DataFrame) -> DataFrame:
-    """``book_id, epub``: a package per book. ``books``: ``book_id, title, lang, direction``; ``pages``: ``book_id, ord,
-    href, title, xhtml`` (one book's pages are one list); ``navs``: ``book_id, nav``. Books without pages have none."""
-    lists = pages.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", "href", "title", "xhtml"))).alias("files"))
-    rows = books.join(lists, "book_id").join(navs, "book_id", "left")
+def packages(books: DataFrame, pages: DataFrame, navs: DataFrame, extras: DataFrame | None = None) -> DataFrame:
+    """``book_id, epub``: a package per book. ``books``: ``book_id, title, lang, direction`` and any of the kept kinds of
+    metadata (``publisher``, ``creator`` ...); ``pages``: ``book_id, ord, href, title, xhtml`` (one book's pages are one
+    list) and, if it is a page of print, its ``label``; ``navs``: ``book_id, nav`` and ``ncx``; ``extras``: ``book_id, path,
+    type, content`` of further resources. Books without pages have none."""
+    label = F.col("label") if "label" in pages.columns else F.lit(None).cast("string")
+    lists = pages.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", "href", "title", "xhtml", label.alias("label")))).alias("files"))
+    ncx = F.col("ncx") if "ncx" in navs.columns else F.lit(None).cast("string")
+    rows = books.join(lists, "book_id").join(navs.select("book_id", "nav", ncx.alias("ncx")), "book_id", "left")
+    known = [c for c in DC_KEPT if c in books.columns and c != "title"]
+    rows = rows.withColumn("more", F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in known)).cast("array<struct<k:string,v:string>>"))
+    empty = F.expr("cast(array() as array<struct<path:string,type:string,content:binary>>)")
+    if extras is None:
+        rows = rows.withColumn("extra", empty)
+    else:
+        res = extras.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("path", "type", "content"))).alias("extra"))
+        rows = rows.join(res, "book_id", "left").withColumn("extra", F.coalesce("extra", empty))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [
-                build(t or i, lang or "und", d or "ltr", i, [(f["href"], f["title"] or "", f["xhtml"]) for f in files], nav or "")
-                for i, t, lang, d, files, nav in zip(b.book_id, b.title, b.lang, b.direction, b.files, b.nav)
-            ]
+                build(
+                    t or i, lang or "und", d or "ltr", i, [(f["href"], f["title"] or "", f["xhtml"]) for f in files], nav or "", ncx or "",
+                    [(f["label"], f["href"]) for f in files if f["label"]], {e["path"]: (e["type"], bytes(e["content"])) for e in extra}, [(m["k"], m["v"]) for m in more],
+                )
+                for i, t, lang, d, files, nav, ncx, more, extra in zip(b.book_id, b.title, b.lang, b.direction, b.files, b.nav, b.ncx, b.more, b.extra)
+            ]
             yield pd.DataFrame({"book_id": b.book_id, "epub": made})
 
-    return rows.select("book_id", "title", "lang", "direction", "files", "nav").mapInPandas(run, "book_id string, epub binary")
+    return rows.select("book_id", "title", "lang", "direction", "files", "nav", "ncx", "more", "extra").mapInPandas(run, "book_id string, epub binary")

@@ -50,7 +50,7 @@ def test_epub_round_trip(spark):
     assert [(r.ordinal_path, r.title, r.path, r.fragment) for r in toc] == [([1], "x", "OEBPS/a.xhtml", "m1"), ([1, 1], "y", "OEBPS/b.xhtml", None)]
     spans = epub.spans(df, docs).where("tag = 'p'").orderBy("start").collect()
     assert [(r.id, r.stream, r.start, r.end) for r in spans] == [("m1", 0, 0, 7), (None, 0, 11, 16)]
-    assert epub.Archive(data).resources() == {"OEBPS/s.css": "text/css"} and epub.Archive(data).metadata["title"] == ["T & t"]
+    assert epub.Archive(data).resources() == {"OEBPS/s.css": "text/css", f"OEBPS/{epub.STYLE}": "text/css"} and epub.Archive(data).metadata["title"] == ["T & t"]
 
 
 def test_glyphs(spark):
