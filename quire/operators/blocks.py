@@ -83,6 +83,17 @@ def page_regions(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy(*PAGE).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def page_images(images: DataFrame, pages: DataFrame, blocks: DataFrame, least: float = 0.004, full: float = 0.85, text: int = 40) -> DataFrame:
+    """Images (``book_id, page, x0, y0, x1, y1``) of substance: at least ``least`` of their page's area, and none that fills
+    the page behind ``text`` characters or more of body, which is the scan under a layer of text."""
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    chars = F.length(F.regexp_replace(F.array_join("lines", ""), r"(?U)\s+", ""))
+    body = blocks.where("found_kind = 'body'").groupBy(*PAGE).agg(F.sum(chars).alias("_body"))
+    t = images.join(pages.select(*PAGE, (F.col("width") * F.col("height")).alias("_area")), PAGE).join(body, PAGE, "left")
+    behind = (area >= full * F.col("_area")) & (F.coalesce("_body", F.lit(0)) >= text)
+    return t.where((area >= least * F.greatest(F.lit(1.0), F.col("_area"))) & ~behind).select(*images.columns)
+
+
 def drawing_regions(drawings: DataFrame, pages: DataFrame, header_frac: float = 0.12) -> DataFrame:
     """Regions of pages with at least eight drawings of substance that cover 3 % of the page or more."""
     d = drawings.join(pages.select(*PAGE, "width", "height"), PAGE)

@@ -19,17 +19,31 @@ def frontier(seeds: DataFrame, links: DataFrame, max_pages: int = 3000, max_leve
     """``book_id, url, level, place`` of the pages reached: seeds (``book_id, ord, url``) are level 0, then the
     targets of ``links`` (``book_id, url, next_url``) not seen before, level by level, until a level is empty.
 
-    Each level is one anti-join of the whole set of books; the lineage is cut every level. ``max_pages``
+    Each level is one anti-join of the whole set of books with what was seen, which is kept as a few written
+    parts: a new level is merged with an older part only once it has half its size, so a row is written a
+    number of times that grows with the logarithm of the rows. More than ``max_levels`` are an error. ``max_pages``
     is the crawl's page limit per book, a feature: pages beyond it are not visited.
     """
     level = first_seen(seeds.select("book_id", "url", "ord"), ["book_id", "url"], "ord").select("book_id", "url", F.lit(0).alias("level"), F.col("ord").alias("rank"))
-    done = level = checkpoint(level)
-    for n in range(1, max_levels + 1):
+    level = checkpoint(level)
+    parts = [(level, level.count())]
+    for n in range(1, max_levels + 2):
         nxt = level.join(links, ["book_id", "url"]).where("next_url IS NOT NULL").groupBy("book_id", F.col("next_url").alias("url")).agg(F.min("rank").alias("rank"))
-        level = checkpoint(nxt.join(done.select("book_id", "url"), ["book_id", "url"], "left_anti").select("book_id", "url", F.lit(n).alias("level"), "rank"))
-        if level.isEmpty():
+        for part, _ in parts:
+            nxt = nxt.join(part.select("book_id", "url"), ["book_id", "url"], "left_anti")
+        level = checkpoint(nxt.select("book_id", "url", F.lit(n).alias("level"), "rank"))
+        rows = level.count()
+        if not rows:
             break
-        done = checkpoint(done.unionByName(level))
+        if n > max_levels:
+            raise RuntimeError(f"pages are reached beyond {max_levels} levels")
+        parts.append((level, rows))
+        while len(parts) > 1 and 2 * parts[-1][1] >= parts[-2][1]:
+            (late, k), (early, m) = parts.pop(), parts.pop()
+            parts.append((checkpoint(early.unionByName(late)), k + m))
+    done = parts[0][0]
+    for part, _ in parts[1:]:
+        done = done.unionByName(part)
     w = Window.partitionBy("book_id").orderBy("level", "rank", "url")
     return done.select("book_id", "url", "level", F.row_number().over(w).alias("place")).where(F.col("place") <= max_pages)
 

@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 from quire.functions.digits import ARABIC_DIGITS, ASCII_DIGITS
-from quire.functions.normalize import fold_char
+from quire.functions.normalize import LETTER_FOLD
 from quire.functions.urls import RESERVED
 
 
@@ -17,14 +17,18 @@ def _q(text: str) -> str:
 
 @lru_cache(1)
 def _folds() -> str:
-    """Rows (character, what it contributes) of all characters that are more than kept or dropped."""
+    """Rows (character, what it contributes) of all characters that are more than kept or dropped: from the character
+    data and the list of variants alone, not by the engine's own kernel."""
+    to = {v: k for k, vs in LETTER_FOLD.items() for v in vs}
     rows = []
     for code in range(0x20, 0x30000):
         ch = chr(code)
         kind = unicodedata.category(ch)
         if kind in ("Cs", "Cn", "Co"):
             continue
-        if (out := fold_char(ch)) != (ch.lower() if kind[0] in "LN" else ""):
+        parts = [(c, unicodedata.category(c)) for c in unicodedata.normalize("NFKC", ch)]
+        out = "".join(str(unicodedata.decimal(c)) if k == "Nd" else to.get(c, c).lower() for c, k in parts if k[0] in "LN" and c != "\u0640")
+        if out != (ch.lower() if kind[0] in "LN" else ""):
             rows.append(f"({_q(ch)},{_q(out)})")
     return ",".join(rows)
 
@@ -33,6 +37,7 @@ _WS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 _NWS = "[^" + _WS[1:]
 _DIGIT = f"[{ARABIC_DIGITS}]"
 
+_ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
 _OPEN = r"[(\[{«“‘\"''\x{FD3E}\x{FD3F}]"
 # cuts: raw place, before openers, in words to the nearest start; c4 has them as they are before they may not fall
 _CUTS = (
@@ -186,6 +191,11 @@ SQL: dict[str, str] = {
     "note_places": f"WITH {BLOCKS}, {PAGES}, z AS (SELECT p.book_id, p.page, coalesce(sum(n) FILTER (WHERE y1 <= separator_y + 2), 0) AS above, coalesce(sum(n), 0) AS total FROM p LEFT JOIN (SELECT book_id, page, y1, length(regexp_replace(array_to_string(lines, ''), '{_WS}+', '', 'g')) AS n FROM b WHERE kind = 'body') q USING (book_id, page) WHERE separator_y IS NOT NULL GROUP BY p.book_id, p.page) SELECT book_id, page, round_even(above::DOUBLE / greatest(total, 1), 6) AS y_ratio FROM z",
     "toc_sections": f"WITH {SECTIONS} SELECT book_id, ord, section, CAST(group_no AS INT) AS group_no, CAST(page_no AS INT) AS page_no, printf('chap_%03d.xhtml', group_no) AS href FROM g2",
     "toc_tree": f"WITH {TREE} SELECT book_id, array_to_string(path, ' / ') AS path, title, CAST(depth AS INT) AS depth, CAST(preorder AS INT) AS preorder, href FROM tr",
+    "navigation": f"WITH {TREE}, f0 AS (SELECT a.book_id, a.path, arg_min(b.href, b.preorder) AS first_href FROM tr a JOIN tr b ON a.book_id = b.book_id AND b.href IS NOT NULL AND list_slice(b.path, 1, len(a.path)) = a.path GROUP BY a.book_id, a.path),"
+    f" n0 AS (SELECT tr.book_id, preorder, CAST(depth AS BIGINT) AS depth, {_ESCAPE.format('title')} AS t, {_ESCAPE.format('first_href')} AS h FROM tr LEFT JOIN f0 USING (book_id, path)),"
+    " n1 AS (SELECT *, lag(depth, 1, 0) OVER u AS d0, lead(depth, 1, 0) OVER u AS d1 FROM n0 WINDOW u AS (PARTITION BY book_id ORDER BY preorder))"
+    " SELECT book_id, string_agg((CASE WHEN depth > d0 THEN '<ol>' ELSE '' END) || '<li>' || (CASE WHEN h IS NOT NULL THEN '<a href=\"' || h || '\">' || t || '</a>' ELSE '<span>' || t || '</span>' END)"
+    " || (CASE WHEN d1 > depth THEN '' ELSE '</li>' || repeat('</ol></li>', depth - greatest(d1, 1)) || (CASE WHEN d1 = 0 THEN '</ol>' ELSE '' END) END), '' ORDER BY preorder) AS nav FROM n1 GROUP BY book_id",
     "ncx_play_order": f"WITH {TREE}, f0 AS (SELECT a.book_id, a.path, arg_min(b.href, b.preorder) AS first_href FROM tr a JOIN tr b ON a.book_id = b.book_id AND b.href IS NOT NULL AND list_slice(b.path, 1, len(a.path)) = a.path GROUP BY a.book_id, a.path), f1 AS (SELECT book_id, preorder, first_href FROM tr JOIN f0 USING (book_id, path)), f2 AS (SELECT book_id, first_href, row_number() OVER (PARTITION BY book_id ORDER BY min(preorder)) AS play_order FROM f1 GROUP BY book_id, first_href) SELECT book_id, CAST(preorder AS INT) AS preorder, first_href, CAST(play_order AS INT) AS play_order FROM f1 JOIN f2 USING (book_id, first_href)",
     "crawl_frontier": f"WITH RECURSIVE {TOC}, {SITE}, sd AS (SELECT book_id, {_url('url')} AS url, min(ord) AS rk FROM t WHERE NOT discovered AND url IS NOT NULL GROUP BY 1, 2), lk AS (SELECT DISTINCT book_id, url, nx FROM (SELECT book_id, {_url('url')} AS url, lead({_url('url')}) OVER (PARTITION BY book_id ORDER BY ord, page_id) AS nx FROM w WHERE url IS NOT NULL) WHERE nx IS NOT NULL),"
     " f(book_id, url, level, rk) AS (SELECT book_id, url, 0, rk FROM sd UNION SELECT f.book_id, lk.nx, f.level + 1, f.rk FROM f JOIN lk ON lk.book_id = f.book_id AND lk.url = f.url WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.book_id = f.book_id AND sd.url = lk.nx) AND f.level < 2000),"

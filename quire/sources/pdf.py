@@ -55,6 +55,54 @@ def decode_glyphs(chars: DataFrame, glyphs: DataFrame) -> DataFrame:
     return t.withColumn("text", F.when(F.col("_known").isNull(), F.col("uni")).otherwise(F.coalesce("text", unknown))).drop("_known")
 
 
+def glyph_texts(order: list[str], chars: dict[str, str], substitutes: list[tuple[tuple[str, ...], str]], widths: dict[str, float], rounds: int = 8) -> dict[int, str]:
+    """Text of each glyph of a font by its number: what its character map says, else what the glyphs it stands for
+    (``substitutes``: parts and the glyph in their place) have for text, found in at most ``rounds`` passes;
+    else nothing if it has no width, else the replacement sign."""
+    known = dict(chars)
+    for _ in range(rounds):
+        new: dict[str, str] = {}
+        for parts, glyph in substitutes:
+            if glyph not in known and glyph not in new and known.keys() >= set(parts):
+                new[glyph] = "".join(map(known.__getitem__, parts))
+        if not new:
+            break
+        known |= new
+    return {i: known.get(g, "" if widths.get(g, 1) == 0 else "\ufffd") for i, g in enumerate(order)}
+
+
+def font_glyphs(data: bytes) -> dict[int, str]:
+    """``glyph_texts`` of a font file; needs fontTools."""
+    from io import BytesIO
+
+    from fontTools.ttLib import TTFont
+
+    font = TTFont(BytesIO(data), lazy=True)
+    chars = {glyph: chr(code) for code, glyph in (font.getBestCmap() or {}).items()}
+    rules = []
+    for lookup in font["GSUB"].table.LookupList.Lookup if "GSUB" in font and font["GSUB"].table.LookupList else ():
+        for table in lookup.SubTable:
+            table = getattr(table, "ExtSubTable", table)
+            rules += [((a,), b) for a, b in getattr(table, "mapping", {}).items() if isinstance(b, str)]
+            rules += [((a, *x.Component), x.LigGlyph) for a, xs in getattr(table, "ligatures", {}).items() for x in xs]
+    widths = {g: w for g, (w, _) in font["hmtx"].metrics.items()} if "hmtx" in font else {}
+    return glyph_texts(font.getGlyphOrder(), chars, rules, widths)
+
+
+def decode_stats(decoded: DataFrame) -> DataFrame:
+    """``book_id, n, n_empty, n_unknown`` of decoded characters (``book_id, text``)."""
+    return decoded.groupBy("book_id").agg(F.count("*").alias("n"), F.count_if(F.col("text") == "").alias("n_empty"), F.count_if(F.col("text") == "\ufffd").alias("n_unknown"))
+
+
+def decode_choice(native: DataFrame, glyphs: DataFrame, enough: float = 0.25, better: float = 0.1) -> DataFrame:
+    """``book_id, decode`` from hit rates (``book_id, rate``; the best counts) of text as extracted and as decoded from
+    glyphs: the latter only where the former is poor and clearly beaten."""
+    best = lambda df, name: df.groupBy("book_id").agg(F.max("rate").alias(name))
+    t = best(native, "_n").join(best(glyphs, "_g"), "book_id", "left")
+    n = F.coalesce("_n", F.lit(0.0))
+    return t.select("book_id", F.when((n < enough) & (F.col("_g") > n + better), "glyph").otherwise("native").alias("decode"))
+
+
 def glyph_lines(chars: DataFrame) -> DataFrame:
     """``book_id, page, line_ord, text`` from placed characters (``book_id, page, x, y, size, text``): a sweep down the
     page gathers characters near the line's median height; lines of mostly Arabic letters run from the right."""

@@ -168,6 +168,9 @@ def test_frontier(spark):
     links = spark.createDataFrame([("b", "u0", "u1"), ("b", "u1", "u2"), ("b", "u2", "u0"), ("b", "u3", None)], "book_id string, url string, next_url string")
     got = [(r.url, r.level, r.place) for r in crawl.frontier(seeds, links).orderBy("place").collect()]
     assert got == [("u0", 0, 1), ("u3", 0, 2), ("u1", 1, 3), ("u2", 2, 4)]
+    with pytest.raises(RuntimeError):
+        crawl.frontier(seeds, links, max_levels=1)
+    assert crawl.frontier(seeds, links, max_levels=2).count() == 4
     assert crawl.frontier(seeds, links, max_pages=2).count() == 2 and crawl.frontier(seeds.limit(0), links).count() == 0
 
 
@@ -237,3 +240,23 @@ def test_page_range():
     assert page_range(10, 3, 99) == (3, 10)
     with pytest.raises(ValueError):
         page_range(10, 11, 20)
+
+
+def test_images_of_substance(spark):
+    pages = spark.createDataFrame([("b", n, 100.0, 100.0) for n in (1, 2)], "book_id string, page int, width double, height double")
+    images = spark.createDataFrame([("b", 1, 0.0, 0.0, 100.0, 100.0), ("b", 1, 0.0, 0.0, 6.0, 6.0), ("b", 1, 0.0, 0.0, 20.0, 20.0), ("b", 2, 0.0, 0.0, 95.0, 95.0)], "book_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    text = spark.createDataFrame([("b", 1, ["a b " * 30], "body"), ("b", 2, ["x" * 39], "body"), ("b", 2, ["x" * 90], "header")], "book_id string, page int, lines array<string>, found_kind string")
+    assert sorted((r.page, r.x1) for r in blocks.page_images(images, pages, text).collect()) == [(1, 20.0), (2, 95.0)]
+    assert blocks.page_images(images, pages, text.limit(0)).count() == 3
+
+
+def test_glyphs(spark):
+    from quire.sources import pdf
+
+    rules = [(("l_a", "x"), "l_a_x"), (("l", "a"), "l_a"), (("a",), "a.fina"), (("gone",), "y")]
+    assert pdf.glyph_texts(["l", "a", "l_a", "a.fina", "l_a_x", "y", "thin"], {"l": "\u0644", "a": "\u0627", "x": "x"}, rules, {"thin": 0}) == {0: "\u0644", 1: "\u0627", 2: "\u0644\u0627", 3: "\u0627", 4: "\u0644\u0627x", 5: "\ufffd", 6: ""}
+    d = spark.createDataFrame([("b", "x"), ("b", ""), ("b", "\ufffd"), ("b", None)], "book_id string, text string")
+    assert tuple(pdf.decode_stats(d).first()) == ("b", 4, 1, 1)
+    rate = lambda *r: spark.createDataFrame(r, "book_id string, rate double")
+    got = pdf.decode_choice(rate(("a", 0.3), ("b", 0.1), ("c", 0.1), ("d", 0.0), ("b", 0.05)), rate(("a", 0.9), ("b", 0.15), ("c", 0.6)))
+    assert {r.book_id: r.decode for r in got.collect()} == {"a": "native", "b": "native", "c": "glyph", "d": "native"}

@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", ["anchor_chain", "page_alignment", "report_json", "best_order", "raw_cuts", "navigation", "html_blocks", "epub_roundtrip"])
+@pytest.mark.parametrize("name", ["anchor_chain", "page_alignment", "report_json", "best_order", "html_blocks", "epub_roundtrip"])
 def test_query_without_sql_runs(spark, name):
     from quire.plans.queries import QUERIES
 
