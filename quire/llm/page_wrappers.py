@@ -287,7 +287,7 @@ def long_notices(fields: DataFrame, parsed: DataFrame) -> DataFrame:
 
 # Blocks of lines that begin or end alike, and their wrappers
 
-_BLOCK = "host string, key long, item string, n long, least string"
+_BLOCK = "host string, key long, item long, n long, least string"
 
 
 class _Blocks:
@@ -311,22 +311,33 @@ class _Blocks:
             s[2] = min(s[2], stream)
 
     def frame(self) -> pd.DataFrame:
-        rows = [(host, key, i, n, least if not i else None) for (host, key), (n, held, least) in self.state.items() for i in ("", *held)]
+        """Rows of each block: its least stream (item 0), and digests of what all its streams hold."""
+        digests = {i: digest(i) for _, held, _ in self.state.values() for i in held}
+        rows = []
+        for (host, key), (n, held, least) in self.state.items():
+            rows.append((host, key, 0, n, least))
+            rows += [(host, key, digests[i], n, None) for i in held]
         return pd.DataFrame(rows, columns=["host", "key", "item", "n", "least"])
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _wrapper(least: pd.Series, held: pd.Series) -> pd.Series:
-    return pd.Series([pattern(a.split(" "), set(c)) for a, c in zip(least, held)], dtype=object)
+    out = []
+    for a, c in zip(least, held):
+        tokens, c = a.split(" "), set(c.tolist())
+        out.append(pattern(tokens, {i for i in items(tokens) if digest(i) in c}))
+    return pd.Series(out, dtype=object)
 
 
 def _aligned(blocks: DataFrame) -> DataFrame:
     """``host, key, wrapper`` of blocks aligned in part: what every part holds stays."""
-    merged = blocks.groupBy("host", "key", "item").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-    whole = merged.groupBy("host", "key").agg(
-        F.max(F.when(F.col("item") == "", F.col("n"))).alias("n"), F.min("least").alias("least"), F.collect_list(F.struct("item", "n")).alias("_i")
+    merged = blocks.groupBy("host", "key", "item", "least").agg(F.sum("n").alias("n"))  # numbers alone: hashed, not sorted
+    whole = merged.groupBy("host", "key").agg(F.collect_list(F.struct("item", "n", "least")).alias("_i"))
+    heads = F.filter("_i", lambda x: x["item"] == 0)
+    whole = whole.select(
+        "host", "key", "_i", F.aggregate(heads, F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"), F.array_min(F.transform(heads, lambda x: x["least"])).alias("least")
     )
-    held = F.transform(F.filter("_i", lambda x: x["n"] == F.col("n")), lambda x: x["item"])
+    held = F.transform(F.filter("_i", lambda x: (x["n"] == F.col("n")) & (x["item"] != 0)), lambda x: x["item"])
     return whole.select("host", "key", _wrapper("least", held).alias("wrapper"))
 
 
