@@ -1,4 +1,8 @@
-"""Tables of contents from paths: sections in order of first sight, trees, targets, reading order."""
+"""Tables of contents from paths: sections in order of first sight, trees, targets, reading order.
+
+Trees, targets and reading order read their input once (windows, no self-joins): one builds on the other,
+and each input read twice would double the plan of all that comes before it.
+"""
 
 from __future__ import annotations
 
@@ -20,39 +24,38 @@ def sections(toc: DataFrame, mode: str = "part") -> DataFrame:
     return t.withColumn("href", name)
 
 
+def _prefixes(c: str):
+    """A path's beginnings, from the first element alone to all of it."""
+    return F.transform(F.sequence(F.lit(1), F.size(c)), lambda n: F.slice(c, F.lit(1), n))
+
+
 def tree(entries: DataFrame) -> DataFrame:
     """Nodes of the trees of ``book_id, ord, path, href``: ``book_id, path, title, depth, preorder, href``.
 
     A node's target is that of the last entry with its very path; siblings stand in order of first sight.
     """
-    prefix = F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    rows = entries.where(F.size("path") > 0).select("book_id", "ord", "href", F.col("path").alias("_full"), F.explode(prefix).alias("path"))
+    rows = entries.where((F.size("path") > 0) & F.col("book_id").isNotNull()).select("book_id", "ord", "href", F.col("path").alias("_full"), F.posexplode(_prefixes("path")).alias("_d", "path"))
+    rows = rows.withColumn("_first", F.min("ord").over(Window.partitionBy("book_id", "path")))
+    # a node's place: the first sights of its ancestors and itself; an entry has them for all nodes on its path
+    steps = rows.groupBy("book_id", "ord", "href", "_full").agg(F.transform(F.array_sort(F.collect_set(F.struct(F.col("_d").alias("d"), F.col("_first").alias("o")))), lambda s: s["o"]).alias("_keys"))
+    steps = steps.select("book_id", "ord", "href", "_full", "_keys", F.posexplode(_prefixes("_full")).alias("_d", "path"))
     own = F.when(F.col("path") == F.col("_full"), F.struct("ord", "href"))
-    nodes = rows.groupBy("book_id", "path").agg(F.min("ord").alias("_first"), F.max(own)["href"].alias("href"))
-    # a node's place: the first sights of its ancestors and itself
-    up = rows.select("book_id", "path").distinct().select("book_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("_up"))
-    order = up.join(nodes.select("book_id", F.col("path").alias("_up"), "_first"), ["book_id", "_up"]).groupBy("book_id", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.size("_up").alias("d"), F.col("_first").alias("o")))), lambda s: s["o"]).alias("_key")
-    )
+    nodes = steps.groupBy("book_id", "path").agg(F.max(own)["href"].alias("href"), F.min(F.slice("_keys", F.lit(1), F.col("_d") + 1)).alias("_key"))
     w = Window.partitionBy("book_id").orderBy("_key", F.size("path"), "path")
-    return nodes.join(order, ["book_id", "path"]).select(
-        "book_id", "path", F.element_at("path", -1).alias("title"), F.size("path").alias("depth"), F.row_number().over(w).alias("preorder"), "href"
-    )
+    return nodes.select("book_id", "path", F.element_at("path", -1).alias("title"), F.size("path").alias("depth"), F.row_number().over(w).alias("preorder"), "href")
 
 
 def first_targets(nodes: DataFrame) -> DataFrame:
     """Nodes with ``first_href``: their own target or that of the first descendant that has one."""
-    up = nodes.where("href IS NOT NULL").select("book_id", "preorder", "href", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path"))
-    best = up.groupBy("book_id", "path").agg(F.min_by("href", "preorder").alias("first_href"))
-    return nodes.join(best, ["book_id", "path"], "left")
+    up = nodes.withColumn("_up", F.explode(_prefixes("path")))
+    best = F.min(F.when(F.col("href").isNotNull(), F.struct("preorder", "href"))).over(Window.partitionBy("book_id", "_up"))
+    return up.withColumn("first_href", best["href"]).where(F.col("_up") == F.col("path")).drop("_up")
 
 
 def play_order(nodes: DataFrame) -> DataFrame:
     """Nodes with ``play_order``: equal targets share a number, numbers follow first sight."""
-    t = nodes.where("first_href IS NOT NULL")
-    seen = t.groupBy("book_id", "first_href").agg(F.min("preorder").alias("_p"))
-    seen = seen.withColumn("play_order", F.row_number().over(Window.partitionBy("book_id").orderBy("_p"))).drop("_p")
-    return t.join(seen, ["book_id", "first_href"])
+    t = nodes.where("first_href IS NOT NULL").withColumn("_p", F.min("preorder").over(Window.partitionBy("book_id", "first_href")))
+    return t.withColumn("play_order", F.dense_rank().over(Window.partitionBy("book_id").orderBy("_p"))).drop("_p")
 
 
 def escape(c):

@@ -316,8 +316,9 @@ def epub_roundtrip(s: SparkSession, d: str) -> DataFrame:
     b = html.page_blocks(p).join(p.select("page_id", "book_id", "ord", "title"), "page_id")
     files = b.select("book_id", F.struct("ord", "page_id").alias("ord"), F.format_string("p-%d.xhtml", "page_id").alias("href"), "title", F.array_join("blocks", "").alias("xhtml"))
     meta = table(s, d, "book_meta").groupBy("book_id").agg(F.max_by(F.struct("title", "lang", "direction"), "extracted_at").alias("_m")).select("book_id", "_m.*")
-    points = toc.ncx_points(toc.play_order(toc.first_targets(_tree(s, d))))
-    made = epub.packages(meta, files, navigation(s, d).join(points, "book_id", "left")).select(F.col("book_id").alias("book"), F.col("epub").alias("content"))
+    nodes = toc.first_targets(_tree(s, d))
+    points = toc.ncx_points(toc.play_order(nodes))
+    made = epub.packages(meta, files, toc.navigation(nodes).join(points, "book_id", "left")).select(F.col("book_id").alias("book"), F.col("epub").alias("content"))
     docs = epub.documents(made)
     return docs.groupBy("book").agg(F.count("*").alias("n_docs"), F.sum(F.length("body")).alias("body_chars"), F.sum(F.length("notes")).alias("note_chars"))
 

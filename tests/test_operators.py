@@ -163,6 +163,19 @@ def test_contents(spark):
     assert nav.count("<ol>") == nav.count("</ol>") == 2 and nav.count("<li>") == nav.count("</li>") == 4 and nav.index("x") < nav.index("B")
 
 
+def test_contents_read_their_entries_once(spark):
+    rows = [("b", 0, ["A", "x"], "h0"), ("b", 0, ["B", "y"], "h1"), ("b", 1, ["C", "C"], None), ("b", 1, ["C", "C"], None), ("b", 2, ["C", "D"], "h0"), (None, 0, ["Z"], "h2"), ("b", 3, [], "h3")]
+    nodes = toc.first_targets(toc.tree(spark.createDataFrame(rows, "book_id string, ord int, path array<string>, href string")))
+    got = [(r.book_id, r.path, r.preorder, r.href, r.first_href) for r in nodes.orderBy("preorder").collect()]
+    assert got == [  # A and B have one first sight: what stands under them comes after both
+        ("b", ["A"], 1, None, "h0"), ("b", ["B"], 2, None, "h1"), ("b", ["A", "x"], 3, "h0", "h0"), ("b", ["B", "y"], 4, "h1", "h1"),
+        ("b", ["C"], 5, None, "h0"), ("b", ["C", "C"], 6, None, None), ("b", ["C", "D"], 7, "h0", "h0"),
+    ]
+    ordered = toc.play_order(nodes)
+    assert [(r.preorder, r.play_order) for r in ordered.orderBy("preorder").collect()] == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 1), (7, 1)]
+    assert ordered._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_frontier(spark):
     seeds = spark.createDataFrame([("b", 0, "u0"), ("b", 1, "u3"), ("b", 2, "u0")], "book_id string, ord int, url string")
     links = spark.createDataFrame([("b", "u0", "u1"), ("b", "u1", "u2"), ("b", "u2", "u0"), ("b", "u3", None)], "book_id string, url string, next_url string")
