@@ -1,7 +1,7 @@
 """Tables of contents from paths: sections in order of first sight, trees, targets, reading order.
 
-Trees, targets and reading order read their input once (windows, no self-joins): one builds on the other,
-and each input read twice would double the plan of all that comes before it.
+Each reads its input once (windows, no self-joins): one builds on the other, and an input read twice would
+double the plan of all that comes before it. Entries dealt by ``book_id`` are not moved again.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ def sections(toc: DataFrame, mode: str = "part") -> DataFrame:
     element; rows of one group need not be neighbours), ``page_no`` in it and the file name. ``page`` mode
     makes each entry a file of its own. Entries without a path are in a group of their own name, empty."""
     first = F.coalesce(F.get("path", F.lit(0)), F.lit(""))
-    t = toc.withColumn("section", first)
-    heads = t.groupBy("book_id", "section").agg(F.min("ord").alias("_first"))
-    heads = heads.withColumn("group_no", F.row_number().over(Window.partitionBy("book_id").orderBy("_first")))
-    t = t.join(heads.drop("_first"), ["book_id", "section"])
+    t = toc.where("book_id IS NOT NULL").withColumn("section", first)
+    t = t.withColumn("_first", F.min("ord").over(Window.partitionBy("book_id", "section")))
+    t = t.withColumn("group_no", F.dense_rank().over(Window.partitionBy("book_id").orderBy("_first", "section"))).drop("_first")
     t = t.withColumn("page_no", F.row_number().over(Window.partitionBy("book_id", "section").orderBy("ord")))
     name = F.format_string("chap_%03d.xhtml", "group_no") if mode == "part" else F.format_string("chap_%03d_%03d.xhtml", "group_no", "page_no")
     return t.withColumn("href", name)

@@ -249,7 +249,7 @@ def toc_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    return toc.tree(toc.sections(I.toc(s, d), "page").where("path IS NOT NULL"))
+    return toc.tree(toc.sections(I.toc(s, d).repartition("book_id"), "page").where("path IS NOT NULL"))
 
 
 def toc_tree(s: SparkSession, d: str) -> DataFrame:
@@ -312,8 +312,7 @@ def concat_invariant(s: SparkSession, d: str) -> DataFrame:
 
 
 def epub_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    p = I.site_pages(s, d).where("body IS NOT NULL")
-    b = html.page_blocks(p).join(p.select("page_id", "book_id", "ord", "title"), "page_id")
+    b = html.page_blocks(I.site_pages(s, d).where("body IS NOT NULL AND page_id IS NOT NULL"), ["book_id", "ord", "title"])
     files = b.select("book_id", F.struct("ord", "page_id").alias("ord"), F.format_string("p-%d.xhtml", "page_id").alias("href"), "title", F.array_join("blocks", "").alias("xhtml"))
     meta = table(s, d, "book_meta").groupBy("book_id").agg(F.max_by(F.struct("title", "lang", "direction"), "extracted_at").alias("_m")).select("book_id", "_m.*")
     nodes = toc.first_targets(_tree(s, d))
