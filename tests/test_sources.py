@@ -14,6 +14,14 @@ def test_html_cleaning_and_paragraphs():
     assert "bad()" in html.clean(html.parse("<script>bad()</script>"), faithful=True).get_text()
 
 
+def test_page_blocks_keep_columns(spark):
+    rows = [(1, "b", 3, None, "http://h.example/1", "<p>x</p>", None), (2, None, None, "T", None, None, None)]
+    p = spark.createDataFrame(rows, "page_id long, book_id string, ord int, title string, url string, body string, footnotes string")
+    got = sorted(tuple(r) for r in html.page_blocks(p, ["book_id", "ord", "title"]).select("page_id", "blocks", "book_id", "ord", "title").collect())
+    assert got == [(1, ["<p>x</p>"], "b", 3, None), (2, [], None, None, "T")]
+    assert html.page_blocks(p).columns == ["page_id", "blocks", "anchors", "images"]
+
+
 def test_adapter():
     a = html.SiteLayout("s", ("h.example",), r"/\w+/book/([^/]+)/")
     page = '<title>Book - Site</title><div class="b">Home » Law » Title</div><div class="book-cover" style="background:url(c.png)"></div><ul class="baz"><li><a href="/ar/book/7/1/">P » Q</a></li><li><a href="/ar/book/7/1">again</a></li><li><a href="/ar/book/8/1/">other</a></li></ul>'
